@@ -72,3 +72,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(shift)
         x *= np.uint64(factor)
     return x ^ (x >> np.uint64(31))
+
+
+#: A side of a join is broadcast only if its counted rows take at most this; beyond it Spark shuffles, with the same result.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (already written) marked for broadcast if it is counted to be small, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
