@@ -161,7 +161,7 @@ def pack(pieces_of_all: DataFrame, capacity: int = LENGTH, group: int = GROUP) -
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = first_fit_decreasing(part["length"].to_numpy(), capacity)
-        return part[columns].assign(sequence_id=(part["__group"] << 32) + bins, offset=offsets)
+        return part[columns].assign(sequence_id=part["__group"].to_numpy() * (1 << 32) + bins, offset=offsets)
 
     schema = pieces_of_all.schema.add("sequence_id", "long").add("offset", "long")
     return dealt.groupBy("__group").applyInPandas(work, schema)
