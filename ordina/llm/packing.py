@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, table
 
@@ -163,7 +164,7 @@ def pack(pieces_of_all: DataFrame, capacity: int = LENGTH, group: int = GROUP) -
         bins, offsets = first_fit_decreasing(part["length"].to_numpy(), capacity)
         return part[columns].assign(sequence_id=part["__group"].to_numpy() * (1 << 32) + bins, offset=offsets)
 
-    schema = pieces_of_all.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces_of_all.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.groupBy("__group").applyInPandas(work, schema)
 
 

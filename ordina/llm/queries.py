@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import ann_codes, pivot_search, simhash_dedup, url_filter
+from . import ann_codes, bpe, language_id, line_dedup, packing, pii, pivot_search, simhash_dedup, substring_dedup, url_filter
 
 QUERIES = {
     "op1_one_bit_ann": ann_codes.op1_one_bit_ann,
+    "op2_hierarchical_language_id": language_id.op2_hierarchical_language_id,
+    "op3_ffd_packing": packing.op3_ffd_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_cover_anchor_dedup": substring_dedup.op5_cover_anchor_dedup,
     "op6_simhash_near_dedup": simhash_dedup.op6_simhash_near_dedup,
+    "op7_folded_bpe": bpe.op7_folded_bpe,
+    "op8_boosted_pii": pii.op8_boosted_pii,
     "op9_pivot_top_k": pivot_search.op9_pivot_top_k,
     "op10_url_filter": url_filter.op10_url_filter,
 }
