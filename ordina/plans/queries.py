@@ -147,8 +147,8 @@ def sorted_groups_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_groups(_table(spark, sf_dir, "events"), [SortKey("event_id")], [SortKey("user_id"), SortKey("value", True)], 1500).select("event_id", "group_id", "group_pos")
 
 
-_add("sorted_groups_arrival", sorted_groups_arrival, """WITH a AS (SELECT *, row_number() OVER (ORDER BY event_id) AS at FROM events), g AS (SELECT *, cast(floor((at - 1) / 1500) AS BIGINT) AS group_id FROM a)
-SELECT event_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY user_id NULLS LAST, value DESC NULLS LAST, at) AS group_pos FROM g""")
+_add("sorted_groups_arrival", sorted_groups_arrival, """WITH a AS (SELECT *, row_number() OVER (ORDER BY event_id) AS arr FROM events), g AS (SELECT *, cast(floor((arr - 1) / 1500) AS BIGINT) AS group_id FROM a)
+SELECT event_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY user_id NULLS LAST, value DESC NULLS LAST, arr) AS group_pos FROM g""")
 
 
 def sorted_groups_batch_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ def sorted_groups_batch_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_groups_by_batch(rows, "b", [SortKey("user_id"), SortKey("event_id")], 1500).select("event_id", "group_id", "group_pos")
 
 
-_add("sorted_groups_batch_aware", sorted_groups_batch_aware, f"""WITH a AS (SELECT event_id, user_id, row_number() OVER (ORDER BY cast(floor(event_id / {BATCH}) AS BIGINT), user_id NULLS LAST, event_id) AS at FROM events), g AS (SELECT *, cast(floor((at - 1) / 1500) AS BIGINT) AS group_id FROM a)
+_add("sorted_groups_batch_aware", sorted_groups_batch_aware, f"""WITH a AS (SELECT event_id, user_id, row_number() OVER (ORDER BY cast(floor(event_id / {BATCH}) AS BIGINT), user_id NULLS LAST, event_id) AS arr FROM events), g AS (SELECT *, cast(floor((arr - 1) / 1500) AS BIGINT) AS group_id FROM a)
 SELECT event_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY user_id NULLS LAST, event_id) AS group_pos FROM g""")
 
 
