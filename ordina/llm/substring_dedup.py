@@ -6,7 +6,7 @@ words also start earlier (smaller doc_id, or earlier in the same document) goes.
 Anchors: positions are covered modulo PERIOD by COVER, a difference cover: for any two positions i and j there is a shift
 below PERIOD that takes both into the cover.  Two equal windows therefore hold, at the same shift, equal anchors of
 ``WINDOW - PERIOD + 1`` words, and only anchors (4 of 13 positions) are hashed and shuffled.  Anchors seen twice are
-extended: every window that holds one is hashed by 128 bits, and the earliest start of each hash is left alone.
+extended: every window that holds one is hashed by 96 bits, and the earliest start of each hash is left alone.
 
 A slice of documents first settles its own repeats and sends on one row for each distinct hash, so a passage that a third
 of all rows share is one entry a slice and never a hot group.  Entries travel packed, by ranges of hashes; texts are
@@ -79,14 +79,15 @@ def _pack(kind: int, buckets: np.ndarray, columns: list[np.ndarray]) -> pa.Recor
     return pa.record_batch([pa.array(np.full(len(found), kind, np.int32)), pa.array(found.astype(np.int64)), pa.array((ends - first).astype(np.int32)), pa.array(blobs, pa.binary())], schema=_PACKED)
 
 
-def _unpack(rows: pa.Table, kind: int, wide: int) -> list[np.ndarray]:
-    """``wide`` columns of eight bytes and one of four, of all rows of a kind."""
+def _unpack(rows: pa.Table, kind: int, wide: int, narrow: int = 1) -> list[np.ndarray]:
+    """``wide`` columns of eight bytes and ``narrow`` ones of four, of all rows of a kind."""
     rows = rows.filter(pc.equal(rows.column("kind"), kind))
-    parts: list[list[np.ndarray]] = [[] for _ in range(wide + 1)]
+    parts: list[list[np.ndarray]] = [[] for _ in range(wide + narrow)]
     for n, blob in zip(rows.column("n").to_pylist(), rows.column("blob").to_pylist(), strict=True):
         for k in range(wide):
             parts[k].append(np.frombuffer(blob, "<i8", n, k * 8 * n))
-        parts[wide].append(np.frombuffer(blob, "<i4", n, wide * 8 * n))
+        for k in range(narrow):
+            parts[wide + k].append(np.frombuffer(blob, "<i4", n, wide * 8 * n + k * 4 * n))
     return [np.concatenate([*p, np.zeros(0, np.int64 if k < wide else np.int32)]) for k, p in enumerate(parts)]
 
 
@@ -132,7 +133,7 @@ def _met_anchors(buckets: int):
         h, ids, th, p = _unpack(rows, 0, 3)
         order = np.argsort(h, kind="stable")
         new = np.concatenate(([True], h[order][1:] != h[order][:-1]))[: len(order)]
-        many = order[~new | ~np.append(new[1:], True)[: len(order)]]
+        many = np.sort(order[~new | ~np.append(new[1:], True)[: len(order)]])
         out = [rows.filter(pc.equal(rows.column("kind"), 1)).select(_PACKED.names).cast(_PACKED)]
         if len(many):
             out.append(pa.Table.from_batches([_pack(1, _home(ids[many], th[many], buckets), [ids[many], th[many], p[many]])]))
@@ -154,7 +155,7 @@ def _extended(buckets: int):
     """A home's documents and anchor positions: windows round the anchors; kind 2 for buckets of hashes, kind 3 settled here."""
 
     def work(docs: pa.Table, rows: pa.Table) -> pa.Table:
-        out = [_PACKED.empty_table()]
+        out, found = [_PACKED.empty_table()], []
         marks = _marks(rows, 1)
         keys = list(zip(docs.column("doc_id").to_pylist(), docs.column("th").to_pylist(), strict=True))
         docs = docs.take(pa.array([i for i, k in enumerate(keys) if k in marks], pa.int64()))
@@ -171,13 +172,16 @@ def _extended(buckets: int):
                 at = at[at + WINDOW <= s.begin[s.doc[at] + 1]]
                 if not len(at):
                     continue
-                h1, h2 = s.windows(at, WINDOW, 1).view(np.int64), s.windows(at, WINDOW, 2).view(np.int64)
                 d = s.doc[at]
-                p = (at - s.begin[d]).astype(np.int32)
-                first, later = _split(h1, h2, ids[d], p)
-                out.append(pa.Table.from_batches([_pack(2, _bucket(h1[first], buckets), [h1[first], h2[first], ids[d[first]], th[d[first]], p[first]])]))
-                if len(later):
-                    out.append(pa.Table.from_batches([_pack(3, _home(ids[d[later]], th[d[later]], buckets), [ids[d[later]], th[d[later]], p[later]])]))
+                second = (s.windows(at, WINDOW, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                found.append((s.windows(at, WINDOW, 1).view(np.int64), second, ids[d], th[d], (at - s.begin[d]).astype(np.int32)))
+        if found:
+            h1, h2, ids, th, p = (np.concatenate(c) for c in zip(*found, strict=True))
+            # Back in the order of documents and places, in which they compress well.
+            first, later = (np.sort(x) for x in _split(h1, h2, ids, p))
+            out.append(pa.Table.from_batches([_pack(2, _bucket(h1[first], buckets), [h1[first], ids[first], th[first], p[first], h2[first]])]))
+            if len(later):
+                out.append(pa.Table.from_batches([_pack(3, _home(ids[later], th[later], buckets), [ids[later], th[later], p[later]])]))
         return pa.concat_tables(out)
 
     return work
@@ -200,8 +204,8 @@ def _earliest(buckets: int):
     """A bucket of hashes: starts of windows that start earlier elsewhere, for their homes; kind 3 passes."""
 
     def work(rows: pa.Table) -> pa.Table:
-        h1, h2, ids, th, p = _unpack(rows, 2, 4)
-        _, later = _split(h1, h2, ids, p)
+        h1, ids, th, p, h2 = _unpack(rows, 2, 3, 2)
+        later = np.sort(_split(h1, h2, ids, p)[1])
         out = [rows.filter(pc.equal(rows.column("kind"), 3)).select(_PACKED.names).cast(_PACKED)]
         if len(later):
             out.append(pa.Table.from_batches([_pack(3, _home(ids[later], th[later], buckets), [ids[later], th[later], p[later]])]))
