@@ -19,6 +19,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, table
 
-LENGTH, CLOSING, GROUP, REMEMBERED = 2048, 1, 2048, 400_000
+LENGTH, CLOSING, GROUP, REMEMBERED = 2048, 1, 2048, 800_000
 #: Characters for which splitting and lower-casing are the same everywhere: ASCII but its controls, Latin letters, punctuation.
 SAFE = "^[\\x09-\\x0D\\x20-\\x7E¡-įı-ǃǍ-ǰǴ-ȗ‐-‧‰-⁞€]*$"
 #: Fixed value: the vocabulary's own way to split (contractions, runs of letters, single digits, runs of the rest).
@@ -44,7 +46,10 @@ def vocabulary() -> str:
 
 
 class Words:
-    """Ids of words and of whole texts; remembers at most REMEMBERED words (forgetting costs time, never a result)."""
+    """Ids (bytes of little-endian uint32) of words and of whole texts.
+
+    Remembers at most REMEMBERED words; the half met first is then forgotten, which costs time, never a result.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,25 +57,43 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of_words(self, words: list[str]) -> list[np.ndarray]:
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Words in one text, apart by spaces, are split again into just these words; a word's last token says so."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+        if len(ends) != len(words):
+            return self.of_texts(words)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
         known = self.known
         found = [known.get(w) for w in words]
         new = [i for i, f in enumerate(found) if f is None]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for i, ids in zip(part, self.of_texts([words[i] for i in part]), strict=True):
-                    known[words[i]] = found[i] = ids
+        if len(known) + len(new) > REMEMBERED:
+            for w in list(islice(known, len(known) // 2)):
+                del known[w]
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            for i, ids in zip(part, self._new([words[i] for i in part]), strict=True):
+                found[i] = known[words[i]] = ids
         return found
 
 
+@lru_cache(maxsize=1)
+def worker_words(path: str) -> Words:
+    """One for all tasks of a Python worker."""
+    return Words(path)
+
+
 def ids_of_batch(words: Words, lists: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch of documents, closing ids included, and where each document begins (n + 1 numbers)."""
     n = len(texts)
@@ -80,14 +103,14 @@ def ids_of_batch(words: Words, lists: pa.Array, texts: pa.Array) -> tuple[np.nda
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     pieces = words.of_words(coded.dictionary.to_pylist())
     counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), np.int64)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    flat = np.concatenate([*pieces, np.zeros(0, np.uint32)])
+    flat = np.frombuffer(b"".join(pieces), "<u4")
     owner = np.repeat(np.arange(n), counts)
     of_word = sizes[code] if len(code) else np.zeros(0, np.int64)
     totals = np.bincount(owner, weights=of_word, minlength=n).astype(np.int64)
     whole = np.flatnonzero(pc.is_valid(texts).to_numpy(zero_copy_only=False))
-    others = words.of_texts([texts[i].as_py() for i in whole.tolist()]) if len(whole) else []
+    others = [np.frombuffer(x, "<u4") for x in words.of_texts([texts[i].as_py() for i in whole.tolist()])] if len(whole) else []
     totals[whole] = [len(x) for x in others]
     starts = np.concatenate(([0], np.cumsum(totals + 1)))
     ids = np.full(starts[-1], CLOSING, np.uint32)
@@ -112,10 +135,10 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     split = split.select("doc_id", F.when(F.col("easy"), F.regexp_extract_all(F.lower("text"), F.lit(SPLIT), F.lit(0))).alias("words"), F.when(~F.col("easy"), F.col("text")).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = worker_words(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 ids, starts = ids_of_batch(words, part.column("words"), part.column("text"))
                 total = np.diff(starts)
                 cuts = -(-total // length)
