@@ -24,15 +24,17 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     edges = materialize(proper(edges), "edges")
     pointers: list[DataFrame] = []
     for turn in range(rounds):
-        if edges.isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         best = F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("to"))).alias("m")
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("to"))
         to = materialize(both.groupBy("a").agg(best).select(F.col("a").alias("node"), F.least("m", own).getField("to").alias("to")), "pointers")
+        if to.isEmpty():
+            break
         pointers.append(to)
         at_a, at_b = to.toDF("a", "ta"), to.toDF("b", "tb")
-        edges = materialize(proper(edges.join(at_a, "a").join(at_b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))), "edges")
+        edges = proper(edges.join(at_a, "a").join(at_b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
+        # Two rounds share a plan; then the edges left are written.
+        edges = materialize(edges, "edges") if turn % 2 else edges
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     if not pointers:
