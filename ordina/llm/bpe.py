@@ -7,8 +7,8 @@ an array, indexed by a hash, of small maps from bytes to rank, since a map's loo
 documents' ids are then the pieces' ids put together, and decoding concatenates the binary pieces of the ids.
 There is no shuffle; a slice's pieces and codes are all that a task holds.
 
-Texts of characters in SAFE only are split by the JVM, others by ``regex``, where tables of letters might differ.  The fold
-is quadratic in a piece's length, so pieces over LONGEST bytes take the same merges from a heap, in Python.
+Texts are split by classes of characters over whole arrays (``piece_starts``); another pattern than the known one is left to
+``regex``.  The fold is quadratic in a piece's length, so pieces over LONGEST bytes take the same merges from a heap, in Python.
 
 Null or empty text: no ids.  Null doc_id: encoded like others.  Repeated rows: each encoded.  Empty table: empty result.
 """
@@ -28,8 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .packing import SAFE
+from .common import byte_slices, table
 
 BUCKETS, LONGEST, NONE = 1 << 14, 128, 2**31 - 1
 
@@ -121,35 +120,93 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 SLICED = "docs array<bigint>, valid array<boolean>, counts array<int>, codes binary, words array<binary>"
 
+#: The pattern that ``piece_starts`` splits by, and its contractions.
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Characters of Unicode's White_Space property.
+WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+OTHER, LETTER, NUMBER, SPACE, END = range(5)
 
-def _sliced(split: str):
-    """Batches of documents to a row each: ids, numbers of pieces, codes of the pieces, distinct pieces."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """The class of every code point."""
+    import regex
 
-        find = regex.compile(split).findall
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists, texts = batch.column("pieces"), batch.column("text")
-            other = {i: find(texts[i].as_py()) for i in np.flatnonzero(pc.is_valid(texts).to_numpy(zero_copy_only=False)).tolist()}
-            counts = np.array(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), np.int32)
-            flat = pc.list_flatten(lists)
-            if other:
-                cut, parts, at = np.concatenate(([0], np.cumsum(counts))), [], 0
-                for i, found in other.items():
-                    parts += [flat.slice(cut[at], cut[i] - cut[at]), pa.array(found, flat.type)]
-                    counts[i], at = len(found), i
-                flat = pa.concat_arrays([*parts, flat.slice(cut[at])])
-            coded = flat.dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
-            words = coded.dictionary.cast(pa.binary())
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            ids = batch.column("doc_id")
-            yield pa.record_batch([one(pc.fill_null(ids, 0)), one(pc.is_valid(ids)), one(pa.array(counts)), pa.array([codes.tobytes()], pa.binary()), one(words)], ["docs", "valid", "counts", "codes", "words"])
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    classes = np.zeros(0x110000, np.uint8)
+    for kind, found in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(found, every):
+            low = ord(m[0][0])
+            # A run within ``every`` may pass over the surrogates, which are no letters.
+            classes[low : ord(m[0][-1]) + 1] = kind
+    classes[0xD800:0xE000] = OTHER
+    classes[list(WHITE_SPACE)] = SPACE
+    return classes
 
-    return work
+
+def piece_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where KNOWN_PATTERN's matches begin, for texts one after the other, each followed by one code point at ``ends``.
+
+    Of a run of white space the last character is a piece of its own, or the head of the next piece if it is a blank,
+    unless the text ends there.  An apostrophe that begins a piece takes a contraction's letters and no more.
+    """
+    kinds = character_classes()[points]
+    kinds[ends] = END
+    before, after = np.concatenate(([END], kinds[:-1])).astype(np.uint8), np.concatenate((kinds[1:], [END])).astype(np.uint8)
+    white = kinds == SPACE
+    # A blank is the head of what follows it.
+    blank = np.concatenate(([False], ((points == 0x20) & white)[:-1]))
+    starts = np.where(white, (before != SPACE) | (after < SPACE), (kinds != before) & ~blank)
+    starts |= kinds == END
+    quotes = np.flatnonzero((points == ord("'")) & starts & (after == LETTER))
+    for letters in CONTRACTIONS:
+        here = quotes[quotes + len(letters) < len(points)]
+        for j, letter in enumerate(letters, 1):
+            here = here[points[here + j] == ord(letter)]
+        starts[here + 1] = False
+        starts[here + len(letters) + 1] |= kinds[here + len(letters) + 1] == LETTER
+    return np.flatnonzero(starts)
+
+
+def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of all texts one after the other (binary), a zero byte after each text, and how many each text has of them."""
+    import regex
+
+    texts = pc.fill_null(texts, "")
+    if pattern() != KNOWN_PATTERN:
+        found = [[*regex.findall(pattern(), t), "\0"] for t in texts.to_pylist()]
+        return pa.array([p.encode() for f in found for p in f], pa.binary()), np.array([len(f) for f in found], np.int64)
+    joined = "\0".join([*texts.to_pylist(), ""])
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
+    starts = piece_starts(points, ends)
+    raw = np.frombuffer(joined.encode(), np.uint8)
+    places = starts if len(raw) == len(points) else np.flatnonzero((raw & 0xC0) != 0x80)[starts]
+    offsets = np.append(places, len(raw)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    return pieces, np.diff(np.searchsorted(starts, ends, "right"), prepend=0)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of documents to a row each: ids, numbers of pieces, codes of the pieces, distinct pieces."""
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    for batch in batches:
+        parts, counts = [], []
+        for few in byte_slices(batch, "text"):
+            pieces, own = split_pieces(few.column("text"))
+            parts.append(pieces)
+            counts.append(own)
+        if not parts:
+            continue
+        counts = np.concatenate(counts)
+        coded = pa.chunked_array(parts).dictionary_encode()
+        codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]).astype("<i4")
+        words = coded.chunk(0).dictionary
+        # Without the zero byte that follows each text.
+        codes = np.delete(codes, np.cumsum(counts) - 1)
+        ids = batch.column("doc_id")
+        yield pa.record_batch([one(pc.fill_null(ids, 0)), one(pc.is_valid(ids)), one(pa.array((counts - 1).astype(np.int32))), pa.array([codes.tobytes()], pa.binary()), one(words)], ["docs", "valid", "counts", "codes", "words"])
 
 
 def _assembled(path: str, digests: bool):
@@ -205,12 +262,9 @@ def _assembled(path: str, digests: bool):
 def encode_decode(df: DataFrame, path: str | None = None, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (array<int>) and ``decoded`` (binary) of every text, or their digests."""
     path = path or vocabulary()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    easy = text.rlike(SAFE)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    split = docs.select("doc_id", F.when(easy, F.regexp_extract_all(text, F.lit(pattern()), F.lit(0))).alias("pieces"), F.when(~easy, text).alias("text"))
     ranks = rank_literal(df.sparkSession, path)
-    slices = split.mapInArrow(_sliced(pattern()), SLICED).withColumn("ranks", ranks).withColumn("ids", _let(F.col("ranks"), lambda m: F.transform(F.col("words"), lambda w: folded_ids(w, m)))).drop("ranks")
+    slices = docs.mapInArrow(_sliced, SLICED).withColumn("ranks", ranks).withColumn("ids", _let(F.col("ranks"), lambda m: F.transform(F.col("words"), lambda w: folded_ids(w, m)))).drop("ranks")
     end = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
     return slices.mapInArrow(_assembled(path, digests), f"doc_id long, n_tokens long, {end}")
 
