@@ -74,8 +74,9 @@ def _let(value: Column, body) -> Column:
 def folded_ids(word: Column, rank_map: Column) -> Column:
     """Ids of a byte string (a lambda's variable): array<int>."""
     def rank(start: Column, end: Column) -> Column:
+        # Cut twice, which costs less than a lambda to name the piece.
         piece = F.substring(word, start + 1, end - start)
-        return _let(piece, lambda p: F.coalesce(F.try_element_at(rank_map[F.pmod(F.hash(p), F.lit(BUCKETS))], p), F.lit(NONE)))
+        return F.coalesce(F.try_element_at(rank_map[F.pmod(F.hash(piece), F.lit(BUCKETS))], piece), F.lit(NONE))
 
     n = F.length(word)
     bounds = F.sequence(F.lit(0), n)
@@ -84,10 +85,12 @@ def folded_ids(word: Column, rank_map: Column) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         b, r = acc["b"], acc["r"]
+
         def merged(k: Column) -> Column:
-            left = F.when(k > 1, F.array(rank(b[k - 2], b[k + 1]))).otherwise(none)
-            right = F.when(k < F.size(r), F.array(rank(b[k - 1], b[k + 2]))).otherwise(none)
-            return F.struct(F.concat(F.slice(b, F.lit(1), k), F.slice(b, k + 2, F.size(b))).alias("b"), F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(b))).alias("r"))
+            """Without the k-th pair (from 1): its middle bound goes, its neighbours reach over the whole of it."""
+            new = lambda _, i: F.when(i == k - 2, rank(b[k - 2], b[k + 1])).when(i == k - 1, rank(b[k - 1], b[k + 2])).when(i < k - 2, r[i]).otherwise(r[i + 1])
+            left = F.when(F.size(r) < 2, none).otherwise(F.transform(F.slice(r, F.lit(1), F.size(r) - 1), new))
+            return F.struct(F.filter(b, lambda _, i: i != k).alias("b"), left.alias("r"))
 
         least = F.array_min(r)
         return F.when(F.coalesce(least, F.lit(NONE)) == NONE, acc).otherwise(_let(F.array_position(r, least).cast("int"), merged))
