@@ -1,6 +1,6 @@
 """Operator 7: byte-level BPE encoding and decoding by ranked merges folded with Spark's higher-order functions.
 
-A slice of documents (an Arrow batch) is split into pieces; its distinct pieces go back to Spark as one array of byte
+A slice of documents (SLICE bytes of text) is split into pieces; its distinct pieces go back to Spark as one array of byte
 strings, where ``aggregate`` folds over each: its state is the bounds of the tokens so far and the rank of each adjacent
 pair, and a step merges the leftmost pair of least rank and looks up the two pairs that arise.  Ranks are a literal:
 an array, indexed by a hash, of small maps from bytes to rank, since a map's lookup in Spark walks its keys.  The
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices, table
 
 BUCKETS, LONGEST, NONE = 1 << 14, 128, 2**31 - 1
+#: Bytes of text whose pieces are folded together: a slice ends with the text that reaches this.
+SLICE = 40 << 20
 
 
 def vocabulary() -> str:
@@ -191,25 +193,31 @@ def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.diff(np.searchsorted(starts, ends, "right"), prepend=0)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of documents to a row each: ids, numbers of pieces, codes of the pieces, distinct pieces."""
+def _slice(ids: list[pa.Array], pieces: list[pa.Array], counts: list[np.ndarray]) -> pa.RecordBatch:
+    """A row of one slice: ids, numbers of pieces, codes of the pieces, distinct pieces."""
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    coded = pa.chunked_array(pieces).dictionary_encode()
+    # Without the zero byte that follows each text.
+    codes = np.concatenate([np.delete(c.indices.to_numpy(zero_copy_only=False), np.cumsum(n) - 1) for c, n in zip(coded.chunks, counts, strict=True)]).astype("<i4", copy=False)
+    whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, codes.nbytes], np.int32)), pa.py_buffer(codes)])
+    docs, sizes = pa.concat_arrays(ids), pa.array((np.concatenate(counts) - 1).astype(np.int32))
+    return pa.record_batch([one(pc.fill_null(docs, 0)), one(pc.is_valid(docs)), one(sizes), whole, one(coded.chunk(0).dictionary)], ["docs", "valid", "counts", "codes", "words"])
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of documents to a row for about SLICE bytes of text."""
+    held, size = ([], [], []), 0
     for batch in batches:
-        parts, counts = [], []
         for few in byte_slices(batch, "text"):
             pieces, own = split_pieces(few.column("text"))
-            parts.append(pieces)
-            counts.append(own)
-        if not parts:
-            continue
-        counts = np.concatenate(counts)
-        coded = pa.chunked_array(parts).dictionary_encode()
-        codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]).astype("<i4")
-        words = coded.chunk(0).dictionary
-        # Without the zero byte that follows each text.
-        codes = np.delete(codes, np.cumsum(counts) - 1)
-        ids = batch.column("doc_id")
-        yield pa.record_batch([one(pc.fill_null(ids, 0)), one(pc.is_valid(ids)), one(pa.array((counts - 1).astype(np.int32))), pa.array([codes.tobytes()], pa.binary()), one(words)], ["docs", "valid", "counts", "codes", "words"])
+            for values, value in zip(held, (few.column("doc_id"), pieces, own), strict=True):
+                values.append(value)
+            size += pieces.buffers()[2].size
+            if size >= SLICE:
+                yield _slice(*held)
+                held, size = ([], [], []), 0
+    if held[0]:
+        yield _slice(*held)
 
 
 def _assembled(path: str, digests: bool):
