@@ -271,6 +271,25 @@ def test_bpe(spark):
     assert bpe.encode_decode(df.where("false")).count() == 0
 
 
+def test_bpe_splits_and_slices(monkeypatch):
+    import pyarrow as pa
+    import regex
+
+    rng = random.Random(13)
+    parts = ["'", "'s", "'ll", "'re", " ", "  ", "\n", "\t", "a", "S", "1", "½", "!", "é", "日", "\u0301", "\x85", "\x1c", "\u00a0", "\u200b", "\0", "😀", "ve", "d", "_"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(5000)] + [None, ""]
+    pieces, counts = bpe.split_pieces(pa.array(texts, pa.string()))
+    assert bpe.pattern() == bpe.KNOWN_PATTERN
+    assert [p.decode() for p in pieces.to_pylist()] == [p for t in texts for p in (*regex.findall(bpe.pattern(), t or ""), "\0")]
+    monkeypatch.setattr(bpe, "SLICE", 1)
+    whole = pa.record_batch([pa.array([1, None, 3], pa.int64()), pa.array(["a b", None, "b"])], ["doc_id", "text"])
+    rows = [r for b in bpe._sliced(iter([whole, whole.slice(0, 0), whole])) for r in b.to_pylist()]
+    assert len(rows) == 2
+    for r in rows:
+        words = [r["words"][c] for c in np.frombuffer(r["codes"], "<i4")]
+        assert (words, r["counts"], r["valid"]) == ([b"a", b" b", b"b"], [2, 0, 1], [True, False, True])
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
