@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a private one only where that is unset (tests)."""
+    """The folder all executors share (``spark.checkpoint.dir``); a private one only where that is unset and the master is local."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = getattr(spark, "_ordina_dir", None) or tempfile.mkdtemp(prefix="ordina-")
         spark._ordina_dir = got
     return got
@@ -33,7 +35,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    got = spark.read.schema(schema).parquet(path)
+    got._ordina_path = path
+    return got
+
+
+def drop_tables(*written: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing will read again."""
+    for df in written:
+        spark, path = df.sparkSession, df._ordina_path
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def shielded(df: DataFrame, replaced: Sequence[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns under neutral names, and those names by the old ones; columns to be replaced are left out.
+
+    So no column of the input can clash with those an operator joins or adds on its way.
+    """
+    gone = {c.lower() for c in replaced}
+    names = {c: f"input{i}__" for i, c in enumerate(df.columns) if c.lower() not in gone}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str], changed: dict[str, Column], added: dict[str, Column]) -> DataFrame:
+    """The columns of :func:`shielded` under their old names, some of them ``changed``, and those ``added``."""
+    return df.select(*[changed.get(c, F.col(n)).alias(c) for c, n in names.items()], *[v.alias(c) for c, v in added.items()])
 
 
 def partitions(spark: SparkSession) -> int:
@@ -78,6 +105,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 BROADCAST_BYTES = 16 << 20
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` (already written) marked for broadcast if it is counted to be small, else as it is."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small_side(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df`` (already written) marked for broadcast if the sum of ``row_bytes`` over its rows is small, else as it is."""
+    size = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -155,10 +155,6 @@ def line_reference(docs):
     def words(line):
         return [w for w in re.split(r"[^\w]+|_", line.lower()) if w]
 
-    def simhash(ws):
-        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
-        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
-
     def edit(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -167,14 +163,13 @@ def line_reference(docs):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    first, sims = {}, {}
+    first = {}
     for d, t in sorted((d, t) for d, t in docs if d is not None and t is not None):
         for pos, line in enumerate(t.split("\n")):
             if ws := words(line):
                 first.setdefault(" ".join(ws), (d, pos))
-                sims[" ".join(ws)] = simhash(ws)
     keys = sorted(first)
-    near = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if (sims[a] ^ sims[b]).bit_count() <= 3 and edit(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9]
+    near = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if edit(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9]
     roots = group(near, keys)
     keep = {}
     for k in keys:
@@ -197,13 +192,29 @@ def test_line_dedup(spark):
         return (" ".join(ws)).title() if rng.random() < 0.3 else " ".join(ws) + rng.choice(["", "!", "."])
 
     docs = [(i, "\n".join(line() for _ in range(rng.randrange(6)))) for i in range(30)] + [(100, None), (101, ""), (102, "---\n---"), (None, stock[0])]
-    df = spark.createDataFrame([(d, t, 7, 8) for d, t in docs], "doc_id long, text string, n_removed int, other int")
-    got = line_dedup.dedup_lines(df)
-    assert got.columns == ["doc_id", "text", "other", "n_lines", "n_removed"]
+    df = spark.createDataFrame([(d, t, 7, 8) for d, t in docs], "doc_id long, text string, n_removed int, __gone int")
+    # A repeated row is the same document, and has the same result.
+    got = line_dedup.dedup_lines(df.union(df.where("doc_id = 3"))).distinct()
+    assert got.columns == ["doc_id", "text", "__gone", "n_lines", "n_removed"]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, line_reference(docs)))
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def test_line_dedup_long_lines_and_a_frequent_word(spark, monkeypatch):
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    long = [word(7) for _ in range(9000)]
+    near = [w if rng.random() > 0.02 else word(7) for w in long]
+    docs = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:4000])), (4, "\n".join(["same line again"] * 500))]
+    docs += [(1000 + i, " ".join(["the"] * 6 + [word(12), word(12)])) for i in range(600)]
+    tried, counted = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, words: tried.append(pairs.count()) or counted(pairs, words))
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {d: {2: 1, 4: 499}.get(d, 0) for d, _ in docs}
+    # Lines of one frequent word are far from all pairs of each other.
+    assert sum(tried) < 600
+
+
 def test_substring_dedup(spark):
     rng = random.Random(7)
     docs = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(70)))) for i in range(80)] + [(500, None), (501, " \n"), (502, "x " * 90)]
