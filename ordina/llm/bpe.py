@@ -1,16 +1,22 @@
 """Operator 7: byte-level BPE encoding and decoding by ranked merges folded with Spark's higher-order functions.
 
-A slice of documents (SLICE bytes of text) is split into pieces; its distinct pieces go back to Spark as one array of byte
-strings, where ``aggregate`` folds over each: its state is the bounds of the tokens so far and the rank of each adjacent
-pair, and a step merges the leftmost pair of least rank and looks up the two pairs that arise.  Ranks are a literal:
-an array, indexed by a hash, of small maps from bytes to rank, since a map's lookup in Spark walks its keys.  The
-documents' ids are then the pieces' ids put together, and decoding concatenates the binary pieces of the ids.
-There is no shuffle; a slice's pieces and codes are all that a task holds.
+A slice of documents (SLICE bytes of text) is split into pieces.  Its distinct pieces go by a hash to buckets, where the
+pieces of all slices meet, so that each distinct piece of the corpus is folded once: ``aggregate`` folds over its bytes;
+its state is the bounds of the tokens so far and the rank of each adjacent pair, and a step merges the leftmost pair of
+least rank and looks up the two pairs that arise.  Ranks are a literal: an array, indexed by a hash, of small maps from
+bytes to rank, since a map's lookup in Spark walks its keys.  Decoding concatenates the binary pieces of the ids, looked up
+in a literal array of the vocabulary, again once for each distinct piece.  Ids and decoded bytes go back to their slices,
+where those of the documents are put together.  The slices' own numbers (places in the list of pieces) never meet the
+buckets: documents are split twice, once for the pieces and once for the numbers, and only those are shuffled.
+
+Both readings must cut the same slices: a slice is known by its partition, its place in it and a hash of its ids and
+lengths, and a slice that finds no pieces for itself is an error, not a wrong result.
 
 Texts are split by classes of characters over whole arrays (``piece_starts``); another pattern than the known one is left to
 ``regex``.  The fold is quadratic in a piece's length, so pieces over LONGEST bytes take the same merges from a heap, in Python.
 
 Null or empty text: no ids.  Null doc_id: encoded like others.  Repeated rows: each encoded.  Empty table: empty result.
+Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -19,20 +25,22 @@ import base64
 import hashlib
 import heapq
 import json
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, table
+from .common import byte_slices, partitions, table
 
 BUCKETS, LONGEST, NONE = 1 << 14, 128, 2**31 - 1
-#: Bytes of text whose pieces are folded together: a slice ends with the text that reaches this.
-SLICE = 40 << 20
+#: Bytes of text whose pieces are numbered together: a slice ends with the text that reaches this.  Most buckets of pieces.
+SLICE, BUCKETS_MOST = 32 << 20, 1 << 16
 
 
 def vocabulary() -> str:
@@ -69,6 +77,21 @@ def rank_literal(spark: SparkSession, path: str) -> Column:
     return spark.range(1).select(maps.alias("ranks")).scalar()
 
 
+def token_literal(spark: SparkSession, path: str) -> Column:
+    """The vocabulary as array<binary>: the bytes of each id, null where an id has none."""
+    ranks = ranks_of(path)
+    tokens: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        tokens[v] = base64.b64encode(k).decode()
+    parsed = F.from_json(F.lit(json.dumps(tokens)), "array<string>")
+    return spark.range(1).select(F.transform(parsed, lambda t: F.unbase64(t)).alias("tokens")).scalar()
+
+
+def joined_tokens(ids: Column, tokens: Column) -> Column:
+    """The bytes of a piece's ids, concatenated."""
+    return F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.get(tokens, i)))
+
+
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
@@ -123,7 +146,8 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-SLICED = "docs array<bigint>, valid array<boolean>, counts array<int>, codes binary, words array<binary>"
+SLICED = "slice long, bucket int, docs array<bigint>, valid array<boolean>, counts array<int>, codes binary, words array<binary>"
+FOLDED = "slice long, bucket int, n int, sizes binary, ids binary, lengths binary, decoded binary"
 
 #: The pattern that ``piece_starts`` splits by, and its contractions.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,91 +217,193 @@ def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.diff(np.searchsorted(starts, ends, "right"), prepend=0)
 
 
-def _slice(ids: list[pa.Array], pieces: list[pa.Array], counts: list[np.ndarray]) -> pa.RecordBatch:
-    """A row of one slice: ids, numbers of pieces, codes of the pieces, distinct pieces."""
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _arrays(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(values, kind) for _, kind, values in columns], [name for name, _, _ in columns])
+
+
+def _slice(ident: int, ids: list[pa.Array], pieces: list[pa.Array], counts: list[np.ndarray], buckets: int, numbers: bool) -> Iterator[pa.RecordBatch]:
+    """Of one slice either its numbers (a row) or its distinct pieces (a row for each bucket)."""
     coded = pa.chunked_array(pieces).dictionary_encode()
-    # Without the zero byte that follows each text.
-    codes = np.concatenate([np.delete(c.indices.to_numpy(zero_copy_only=False), np.cumsum(n) - 1) for c, n in zip(coded.chunks, counts, strict=True)]).astype("<i4", copy=False)
-    whole = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, codes.nbytes], np.int32)), pa.py_buffer(codes)])
-    docs, sizes = pa.concat_arrays(ids), pa.array((np.concatenate(counts) - 1).astype(np.int32))
-    return pa.record_batch([one(pc.fill_null(docs, 0)), one(pc.is_valid(docs)), one(sizes), whole, one(coded.chunk(0).dictionary)], ["docs", "valid", "counts", "codes", "words"])
-
-
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of documents to a row for about SLICE bytes of text."""
-    held, size = ([], [], []), 0
-    for batch in batches:
-        for few in byte_slices(batch, "text"):
-            pieces, own = split_pieces(few.column("text"))
-            for values, value in zip(held, (few.column("doc_id"), pieces, own), strict=True):
-                values.append(value)
-            size += pieces.buffers()[2].size
-            if size >= SLICE:
-                yield _slice(*held)
-                held, size = ([], [], []), 0
-    if held[0]:
-        yield _slice(*held)
-
-
-def _assembled(path: str, digests: bool):
-    """Rows of slices, with the ids of their distinct pieces, to a row for each document."""
+    words = coded.chunk(0).dictionary
+    where = np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.int64, len(words)) % buckets
+    order = np.argsort(where, kind="stable")
+    docs, sizes = pa.concat_arrays(ids), np.concatenate(counts)
+    mark = zlib.crc32(np.asarray(pc.fill_null(docs, 0)).tobytes(), zlib.crc32(sizes.tobytes()))
+    ident = (ident << 32) | mark
+    none: list = [None]
+    if numbers:
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # Without the zero byte that follows each text.
+        codes = np.concatenate([np.delete(place[c.indices.to_numpy(zero_copy_only=False)], np.cumsum(n) - 1) for c, n in zip(coded.chunks, counts, strict=True)])
+        raw = pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+        yield _arrays([
+            ("slice", pa.int64(), [ident]), ("bucket", pa.int32(), none), ("docs", pa.list_(pa.int64()), [np.asarray(pc.fill_null(docs, 0))]),
+            ("valid", pa.list_(pa.bool_()), [pc.is_valid(docs).to_pylist()]), ("counts", pa.list_(pa.int32()), [(sizes - 1).astype(np.int32)]),
+            ("codes", pa.binary(), [raw]), ("words", pa.list_(pa.binary()), none),
+        ])
+        return
+    found, first = np.unique(where[order], return_index=True)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), words.take(pa.array(order)))
+    for a in range(0, len(found), 4096):
+        b = min(len(found), a + 4096)
+        empty = lambda kind, n=b - a: pa.nulls(n, kind)
+        yield pa.record_batch([
+            pa.array(np.full(b - a, ident)), pa.array(found[a:b].astype(np.int32)), empty(pa.list_(pa.int64())), empty(pa.list_(pa.bool_())), empty(pa.list_(pa.int32())), empty(pa.binary()), lists.slice(a, b - a),
+        ], ["slice", "bucket", "docs", "valid", "counts", "codes", "words"])
+
+
+def _sliced(buckets: int, numbers: bool):
+    """Batches of documents to the numbers, or to the distinct pieces, of slices of about SLICE bytes of text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        ident = (context.partitionId() if context else 0) << 8
+        held, size = ([], [], []), 0
+        for batch in batches:
+            for few in byte_slices(batch, "text"):
+                pieces, own = split_pieces(few.column("text"))
+                for values, value in zip(held, (few.column("doc_id"), pieces, own), strict=True):
+                    values.append(value)
+                size += pieces.buffers()[2].size
+                if size >= SLICE:
+                    yield from _slice(ident, *held, buckets, numbers)
+                    held, size, ident = ([], [], []), 0, ident + 1
+        if held[0]:
+            yield from _slice(ident, *held, buckets, numbers)
+
+    return work
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """A bucket: its distinct pieces, and for each slice their places in the slice's order."""
+    rows = rows.select(["slice", "bucket", "words"]).combine_chunks()
+    lists = rows.column("words").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    uses = [codes[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.table([rows.column("bucket").slice(0, 1), one(coded.dictionary), one(rows.column("slice").combine_chunks()), one(pa.array(uses, pa.binary()))], ["bucket", "words", "slices", "uses"])
+
+
+def _blob(values: list[np.ndarray], kind: str) -> bytes:
+    return np.concatenate([*values, np.zeros(0, kind)]).astype(kind).tobytes()
+
+
+def _taken(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``begin`` and have ``size``, one after the other."""
+    stop = np.cumsum(size)
+    return values[np.repeat(begin - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
+
+
+def _sent_back(path: str):
+    """Folded buckets to a row for each slice: its pieces' ids and decoded bytes, in the slice's order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(path)
-        by_rank = sorted(ranks, key=ranks.get)
-        table_at = np.full(ranks[by_rank[-1]] + 1, -1) if by_rank else np.zeros(0)
-        table_at[[ranks[b] for b in by_rank]] = np.arange(len(by_rank))
-        tokens = pa.array(by_rank, pa.binary())
+        tokens = {v: k for k, v in ranks.items()}
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                docs, valid, counts, words, lists = (pc.list_flatten(row.column(c)) for c in ("docs", "valid", "counts", "words", "ids"))
-                codes = np.frombuffer(row.column("codes")[0].as_py(), "<i4")
+                words, lists, decoded = (pc.list_flatten(row.column(c)) for c in ("words", "ids", "decoded"))
                 sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), np.int64)
-                flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<i4")
+                flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype("<u4")
+                lengths = np.asarray(pc.fill_null(pc.binary_length(decoded), 0).to_numpy(zero_copy_only=False), np.int64)
+                raw = np.frombuffer(b"".join(d for d in decoded.to_pylist() if d), np.uint8)
+                begin, start = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
+                # Pieces that were too long to fold.
                 long = np.flatnonzero(~pc.is_valid(lists).to_numpy(zero_copy_only=False))
-                own = [np.array(merged_by_heap(words[i].as_py(), ranks), "<i4") for i in long.tolist()]
-                begin = np.cumsum(sizes) - sizes
-                begin[long] = len(flat) + np.cumsum([0, *map(len, own)])[:-1]
-                sizes[long] = [len(x) for x in own]
-                flat = np.concatenate([flat, *own])
-                n = len(counts)
-                ends = np.cumsum(counts.to_numpy())
-                parts: list[pa.RecordBatch] = []
-                # A few documents at a time, so that the ids of a slice are never all there.
-                for a in range(0, n, 256):
-                    b = min(n, a + 256)
-                    c = codes[(ends[a - 1] if a else 0) : ends[b - 1]]
-                    size = sizes[c]
-                    stop = np.cumsum(size)
-                    ids = flat[np.repeat(begin[c], size) + np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size)]
-                    at = np.concatenate(([0], stop))[ends[a:b] - (ends[a - 1] if a else 0)]
-                    at = np.concatenate(([0], at))
-                    decoded = pc.take(tokens, pa.array(table_at[ids]))
-                    place = np.frombuffer(decoded.buffers()[1], np.int32)[decoded.offset : decoded.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
-                    data = memoryview(decoded.buffers()[2]) if len(ids) else memoryview(b"")
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    cut, text = (at * 4).tolist(), place[at].tolist()
-                    head = [pa.array(np.ma.masked_array(docs.slice(a, b - a).to_numpy(zero_copy_only=False), mask=~valid.slice(a, b - a).to_numpy(zero_copy_only=False)).tolist(), pa.int64()), pa.array(np.diff(at))]
-                    if digests:
-                        sha = lambda m, x: pa.array([hashlib.sha256(m[i:j]).hexdigest() for i, j in zip(x, x[1:], strict=False)], pa.string())
-                        parts.append(pa.record_batch([*head, sha(raw, cut), sha(data, text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]))
-                    else:
-                        parts.append(pa.record_batch([*head, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([bytes(data[i:j]) for i, j in zip(text, text[1:], strict=False)], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"]))
-                yield from parts
+                own = [np.array(merged_by_heap(words[i].as_py(), ranks), "<u4") for i in long.tolist()]
+                text = [b"".join([tokens[i] for i in x.tolist()]) for x in own]
+                begin[long], sizes[long] = len(flat) + np.cumsum([0, *map(len, own)])[:-1], [len(x) for x in own]
+                start[long], lengths[long] = len(raw) + np.cumsum([0, *map(len, text)])[:-1], [len(x) for x in text]
+                flat, raw = np.concatenate([flat, *own]), np.concatenate([raw, *[np.frombuffer(x, np.uint8) for x in text]])
+                slices, uses = row.column("slices")[0].as_py(), row.column("uses")[0].as_py()
+                out = []
+                for ident, use in zip(slices, uses, strict=True):
+                    c = np.frombuffer(use, "<i4")
+                    out.append((ident, len(c), _blob([sizes[c]], "<u4"), _blob([_taken(flat, begin[c], sizes[c])], "<u4"), _blob([lengths[c]], "<u4"), _taken(raw, start[c], lengths[c]).tobytes()))
+                if out:
+                    ident, n, *blobs = zip(*out, strict=True)
+                    columns = [pa.array(ident, pa.int64()), pa.array([row.column("bucket")[0].as_py()] * len(out), pa.int32()), pa.array(n, pa.int32())]
+                    packed = [pa.array([pa.compress(_planes(b, c in (0, 1, 2)), codec="zstd", asbytes=True) for b in column], pa.binary()) for c, column in enumerate(blobs)]
+                    yield pa.record_batch([*columns, *packed], ["slice", "bucket", "n", "sizes", "ids", "lengths", "decoded"])
+
+    return work
+
+
+def _planes(blob: bytes, wide: bool) -> bytes:
+    """Of four-byte numbers all first bytes, then all second ones, and so on: they compress better."""
+    return np.frombuffer(blob, np.uint8).reshape(-1, 4).T.tobytes() if wide else blob
+
+
+def _unplaned(blob: bytes, wide: bool) -> np.ndarray:
+    body = np.frombuffer(_decompressed(blob), np.uint8)
+    return np.ascontiguousarray(body.reshape(4, -1).T).reshape(-1).view("<u4") if wide else body
+
+
+def _decompressed(blob: bytes) -> bytes:
+    return pa.CompressedInputStream(pa.BufferReader(blob), "zstd").read()
+
+
+def _assembled(digests: bool):
+    """A slice's numbers and its pieces' ids and bytes to a row for each document."""
+
+    def work(numbers: pa.Table, folded: pa.Table) -> pa.Table:
+        names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+        kinds = [pa.int64(), pa.int64(), *((pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary()))]
+        if not numbers.num_rows:
+            raise RuntimeError("pieces without a slice: the documents were not read twice alike")
+        row, parts = numbers.combine_chunks(), []
+        docs, valid, counts = (pc.list_flatten(row.column(c)) for c in ("docs", "valid", "counts"))
+        counts = np.asarray(counts.to_numpy(), np.int64)
+        raw = np.frombuffer(_decompressed(row.column("codes")[0].as_py()), np.uint8).reshape(4, -1)
+        codes = np.ascontiguousarray(raw.T).reshape(-1).view("<u4")
+        folded = folded.sort_by("bucket")
+        columns = {c: np.concatenate([*[_unplaned(b, c != "decoded") for b in folded.column(c).to_pylist()], np.zeros(0, np.uint8 if c == "decoded" else "<u4")]) for c in ("sizes", "ids", "lengths", "decoded")}
+        sizes, lengths, flat, body = (columns[c] for c in ("sizes", "lengths", "ids", "decoded"))
+        sizes, lengths = sizes.astype(np.int64), lengths.astype(np.int64)
+        if counts.sum() != len(codes) or (len(codes) and int(codes.max()) >= len(sizes)):
+            raise RuntimeError("a slice without its pieces: the documents were not read twice alike")
+        begin, start = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
+        ends = np.cumsum(counts)
+        # A few documents at a time, so that the ids of a slice are never all there.
+        for a in range(0, len(counts), 256):
+            b = min(len(counts), a + 256)
+            low = int(ends[a - 1]) if a else 0
+            c = codes[low : ends[b - 1]]
+            size, length = sizes[c], lengths[c]
+            ids, text = _taken(flat, begin[c], size), _taken(body, start[c], length).tobytes()
+            own = np.concatenate(([0], ends[a:b] - low))
+            at, cut = np.concatenate(([0], np.cumsum(size)))[own], np.concatenate(([0], np.cumsum(length)))[own]
+            who = pa.array(np.asarray(docs.slice(a, b - a)), mask=~np.asarray(valid.slice(a, b - a).to_numpy(zero_copy_only=False), bool))
+            view, data, pairs = memoryview(ids.tobytes()), memoryview(text), list(zip(at.tolist(), at.tolist()[1:], cut.tolist(), cut.tolist()[1:], strict=False))
+            if digests:
+                rest = [pa.array([hashlib.sha256(view[4 * i : 4 * j]).hexdigest() for i, j, _, _ in pairs], pa.string()), pa.array([hashlib.sha256(data[i:j]).hexdigest() for _, _, i, j in pairs], pa.string())]
+            else:
+                rest = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), pa.array([bytes(data[i:j]) for _, _, i, j in pairs], pa.binary())]
+            parts.append(pa.record_batch([who, pa.array(np.diff(at)), *rest], names))
+        return pa.Table.from_batches(parts, pa.schema(list(zip(names, kinds, strict=True))))
 
     return work
 
 
 def encode_decode(df: DataFrame, path: str | None = None, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (array<int>) and ``decoded`` (binary) of every text, or their digests."""
-    path = path or vocabulary()
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranks = rank_literal(df.sparkSession, path)
-    slices = docs.mapInArrow(_sliced, SLICED).withColumn("ranks", ranks).withColumn("ids", _let(F.col("ranks"), lambda m: F.transform(F.col("words"), lambda w: folded_ids(w, m)))).drop("ranks")
+    path, spark = path or vocabulary(), df.sparkSession
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # As many buckets as keep the pieces of one to what a task holds, whatever the input.
+    buckets = min(BUCKETS_MOST, max(partitions(spark), 2 * docs.rdd.getNumPartitions()))
+    pieces = docs.mapInArrow(_sliced(buckets, False), SLICED).select("slice", "bucket", "words")
+    met = pieces.groupBy("bucket").applyInArrow(_met, "bucket int, words array<binary>, slices array<bigint>, uses array<binary>")
+    folded = met.withColumn("ranks", rank_literal(spark, path)).withColumn("ids", _let(F.col("ranks"), lambda m: F.transform(F.col("words"), lambda w: folded_ids(w, m)))).drop("ranks")
+    folded = folded.withColumn("tokens", token_literal(spark, path)).withColumn("decoded", _let(F.col("tokens"), lambda t: F.transform(F.col("ids"), lambda i: joined_tokens(i, t)))).drop("tokens")
+    back = folded.mapInArrow(_sent_back(path), FOLDED)
+    numbers = docs.mapInArrow(_sliced(buckets, True), SLICED).drop("bucket", "words")
     end = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
-    return slices.mapInArrow(_assembled(path, digests), f"doc_id long, n_tokens long, {end}")
+    return numbers.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(_assembled(digests), f"doc_id long, n_tokens long, {end}")
 
 
 def op7_folded_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
