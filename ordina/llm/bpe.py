@@ -40,7 +40,7 @@ from .common import byte_slices, partitions, table
 
 BUCKETS, LONGEST, NONE = 1 << 14, 128, 2**31 - 1
 #: Bytes of text whose pieces are numbered together: a slice ends with the text that reaches this.  Most buckets of pieces.
-SLICE, BUCKETS_MOST = 32 << 20, 1 << 16
+SLICE, BUCKETS_MOST = 12 << 20, 1 << 16
 
 
 def vocabulary() -> str:
@@ -146,7 +146,7 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-SLICED = "slice long, bucket int, docs array<bigint>, valid array<boolean>, counts array<int>, codes binary, words array<binary>"
+SLICED = "slice long, bucket int, docs array<bigint>, valid array<boolean>, counts array<int>, codes binary, places binary, words array<binary>"
 FOLDED = "slice long, bucket int, n int, sizes binary, ids binary, lengths binary, decoded binary"
 
 #: The pattern that ``piece_starts`` splits by, and its contractions.
@@ -232,15 +232,14 @@ def _slice(ident: int, ids: list[pa.Array], pieces: list[pa.Array], counts: list
     ident = (ident << 32) | mark
     none: list = [None]
     if numbers:
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
         # Without the zero byte that follows each text.
-        codes = np.concatenate([np.delete(place[c.indices.to_numpy(zero_copy_only=False)], np.cumsum(n) - 1) for c, n in zip(coded.chunks, counts, strict=True)])
-        raw = pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+        codes = np.concatenate([np.delete(c.indices.to_numpy(zero_copy_only=False), np.cumsum(n) - 1) for c, n in zip(coded.chunks, counts, strict=True)])
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order), dtype="<u4")
         yield _arrays([
             ("slice", pa.int64(), [ident]), ("bucket", pa.int32(), none), ("docs", pa.list_(pa.int64()), [np.asarray(pc.fill_null(docs, 0))]),
             ("valid", pa.list_(pa.bool_()), [pc.is_valid(docs).to_pylist()]), ("counts", pa.list_(pa.int32()), [(sizes - 1).astype(np.int32)]),
-            ("codes", pa.binary(), [raw]), ("words", pa.list_(pa.binary()), none),
+            ("codes", pa.binary(), [_compressed(codes)]), ("places", pa.binary(), [_compressed(place)]), ("words", pa.list_(pa.binary()), none),
         ])
         return
     found, first = np.unique(where[order], return_index=True)
@@ -249,8 +248,8 @@ def _slice(ident: int, ids: list[pa.Array], pieces: list[pa.Array], counts: list
         b = min(len(found), a + 4096)
         empty = lambda kind, n=b - a: pa.nulls(n, kind)
         yield pa.record_batch([
-            pa.array(np.full(b - a, ident)), pa.array(found[a:b].astype(np.int32)), empty(pa.list_(pa.int64())), empty(pa.list_(pa.bool_())), empty(pa.list_(pa.int32())), empty(pa.binary()), lists.slice(a, b - a),
-        ], ["slice", "bucket", "docs", "valid", "counts", "codes", "words"])
+            pa.array(np.full(b - a, ident)), pa.array(found[a:b].astype(np.int32)), empty(pa.list_(pa.int64())), empty(pa.list_(pa.bool_())), empty(pa.list_(pa.int32())), empty(pa.binary()), empty(pa.binary()), lists.slice(a, b - a),
+        ], ["slice", "bucket", "docs", "valid", "counts", "codes", "places", "words"])
 
 
 def _sliced(buckets: int, numbers: bool):
@@ -269,8 +268,11 @@ def _sliced(buckets: int, numbers: bool):
                 if size >= SLICE:
                     yield from _slice(ident, *held, buckets, numbers)
                     held, size, ident = ([], [], []), 0, ident + 1
+                    pa.default_memory_pool().release_unused()
         if held[0]:
             yield from _slice(ident, *held, buckets, numbers)
+        del held
+        pa.default_memory_pool().release_unused()
 
     return work
 
@@ -328,20 +330,21 @@ def _sent_back(path: str):
                 if out:
                     ident, n, *blobs = zip(*out, strict=True)
                     columns = [pa.array(ident, pa.int64()), pa.array([row.column("bucket")[0].as_py()] * len(out), pa.int32()), pa.array(n, pa.int32())]
-                    packed = [pa.array([pa.compress(_planes(b, c in (0, 1, 2)), codec="zstd", asbytes=True) for b in column], pa.binary()) for c, column in enumerate(blobs)]
+                    packed = [pa.array([_compressed(np.frombuffer(x, "<u4" if c < 3 else np.uint8)) for x in column], pa.binary()) for c, column in enumerate(blobs)]
                     yield pa.record_batch([*columns, *packed], ["slice", "bucket", "n", "sizes", "ids", "lengths", "decoded"])
 
     return work
 
 
-def _planes(blob: bytes, wide: bool) -> bytes:
-    """Of four-byte numbers all first bytes, then all second ones, and so on: they compress better."""
-    return np.frombuffer(blob, np.uint8).reshape(-1, 4).T.tobytes() if wide else blob
+def _compressed(values: np.ndarray) -> bytes:
+    """Of four-byte numbers all first bytes, then all second ones, and so on, since they compress better."""
+    body = values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T if values.dtype.itemsize == 4 else values
+    return pa.compress(body.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unplaned(blob: bytes, wide: bool) -> np.ndarray:
-    body = np.frombuffer(_decompressed(blob), np.uint8)
-    return np.ascontiguousarray(body.reshape(4, -1).T).reshape(-1).view("<u4") if wide else body
+def _numbers(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(_decompressed(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
 def _decompressed(blob: bytes) -> bytes:
@@ -359,13 +362,13 @@ def _assembled(digests: bool):
         row, parts = numbers.combine_chunks(), []
         docs, valid, counts = (pc.list_flatten(row.column(c)) for c in ("docs", "valid", "counts"))
         counts = np.asarray(counts.to_numpy(), np.int64)
-        raw = np.frombuffer(_decompressed(row.column("codes")[0].as_py()), np.uint8).reshape(4, -1)
-        codes = np.ascontiguousarray(raw.T).reshape(-1).view("<u4")
+        codes, place = _numbers(row.column("codes")[0].as_py()), _numbers(row.column("places")[0].as_py())
         folded = folded.sort_by("bucket")
-        columns = {c: np.concatenate([*[_unplaned(b, c != "decoded") for b in folded.column(c).to_pylist()], np.zeros(0, np.uint8 if c == "decoded" else "<u4")]) for c in ("sizes", "ids", "lengths", "decoded")}
+        read = lambda c: _numbers if c != "decoded" else lambda b: np.frombuffer(_decompressed(b), np.uint8)
+        columns = {c: np.concatenate([*map(read(c), folded.column(c).to_pylist()), np.zeros(0, np.uint8 if c == "decoded" else "<u4")]) for c in ("sizes", "ids", "lengths", "decoded")}
         sizes, lengths, flat, body = (columns[c] for c in ("sizes", "lengths", "ids", "decoded"))
         sizes, lengths = sizes.astype(np.int64), lengths.astype(np.int64)
-        if counts.sum() != len(codes) or (len(codes) and int(codes.max()) >= len(sizes)):
+        if counts.sum() != len(codes) or len(place) != len(sizes):
             raise RuntimeError("a slice without its pieces: the documents were not read twice alike")
         begin, start = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
         ends = np.cumsum(counts)
@@ -373,7 +376,7 @@ def _assembled(digests: bool):
         for a in range(0, len(counts), 256):
             b = min(len(counts), a + 256)
             low = int(ends[a - 1]) if a else 0
-            c = codes[low : ends[b - 1]]
+            c = place[codes[low : ends[b - 1]]]
             size, length = sizes[c], lengths[c]
             ids, text = _taken(flat, begin[c], size), _taken(body, start[c], length).tobytes()
             own = np.concatenate(([0], ends[a:b] - low))
