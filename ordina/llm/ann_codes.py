@@ -9,8 +9,10 @@ Search: tiles of queries meet tiles of vectors.  In each, a query's k-th highest
 upper bound reaches it are scored again by the exact cosine of the original vectors in double precision.  The best k of
 all tiles are the answer.  Every row is indexed and no candidate list is capped.
 
-Null, empty, zero or non-finite vectors and null ids take no part; vectors of different lengths never meet.  Repeated
-rows of an id count once.  Ties go to the smaller vec_id.  Empty table: empty result.
+Null, empty, zero or non-finite vectors and null ids take no part; vectors of different lengths never meet.  Rows of one id
+and the same vector count once; different vectors under one id all count, as queries (of one list) and as candidates, but
+never meet each other.  Ties go to the smaller vec_id.  Empty table: empty result.  Only the id and the vector are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table
-from .vectors import LEAST_A_TILE, QUERIES_A_TILE, VECTORS_A_TILE, best_k, in_tiles, matrices, one_row_an_id, packed, tiles, top_rows, unpacked
+from .vectors import LEAST_A_TILE, QUERIES_A_TILE, VECTORS_A_TILE, best_k, in_tiles, matrices, packed, repeats_dropped, tiles, top_rows, unpacked
 
 EPSILON, SEED, K, QUERY_EVERY = 3.0, 7, 5, 50
 
@@ -61,7 +63,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                     yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), x.shape[1], np.int32)), packed(x), packed(code), pa.array(align)], ["vec_id", "dim", "raw", "code", "align"])
 
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    return one_row_an_id(rows.mapInArrow(work, "vec_id long, dim int, raw binary, code binary, align double"))
+    return repeats_dropped(rows.mapInArrow(work, "vec_id long, dim int, raw binary, code binary, align double"))
 
 
 def search_tile(q: pa.Table, d: pa.Table, k: int) -> pa.Table:

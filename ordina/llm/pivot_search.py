@@ -12,8 +12,10 @@ Nothing beyond it can enter the answer, so the result is exact whatever the pivo
 (at most PIVOTS rows).
 
 Scores are integers: exact in doubles while they stay below 2^53, and in Python's integers beyond (then kept within a
-long).  Null, empty or non-finite vectors and null ids take no part; vectors of different lengths never meet; repeated
-rows of an id count once; ties go to the smaller vec_id; an empty table gives an empty result.
+long).  Null, empty or non-finite vectors and null ids take no part; vectors of different lengths never meet.  Rows of one
+id and the same scaled vector count once; different ones under one id all count, as queries (of one list) and as
+candidates, but never meet each other.  Ties go to the smaller vec_id; an empty table gives an empty result.  Only the id
+and the vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .vectors import QUERIES_A_TILE, best_k, in_tiles, matrices, one_row_an_id, packed, tiles, top_rows, unpacked
+from .vectors import QUERIES_A_TILE, best_k, in_tiles, matrices, packed, repeats_dropped, tiles, top_rows, unpacked
 
 K, QUERY_EVERY, SCALE, PIVOTS, A_PIVOT, A_BLOCK, RINGS, META_AT_ONCE = 5, 50, 256.0, 256, 2048, 2048, 8, 20_000
 
@@ -49,7 +51,7 @@ def scaled_vectors(df: DataFrame, scale: float = SCALE, id_col: str = "vec_id",
                 yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), x.shape[1], np.int32)), packed(x), pa.array((x * x).sum(axis=1))], ["vec_id", "dim", "raw", "length2"])
 
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    return one_row_an_id(rows.mapInArrow(work, "vec_id long, dim int, raw binary, length2 double"))
+    return repeats_dropped(rows.mapInArrow(work, "vec_id long, dim int, raw binary, length2 double"))
 
 
 def pivot_table(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
@@ -81,7 +83,8 @@ class PivotIndex:
         keyed = materialize(self._keyed(vectors), "pivot-keys")
         sizes = keyed.groupBy("dim", "pivot", "ring").agg(F.count("*").alias("n"))
         parts = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / A_BLOCK)).cast("int").alias("part")
-        self.blocks = keyed.join(sizes, ["dim", "pivot", "ring"]).select("dim", "pivot", "ring", parts, "vec_id", "raw", "dist")
+        # A row for each ring round each pivot, of which there are a bounded number: the vectors of a hot ring need not meet.
+        self.blocks = keyed.join(F.broadcast(sizes), ["dim", "pivot", "ring"]).select("dim", "pivot", "ring", parts, "vec_id", "raw", "dist")
         self.meta = materialize(self.blocks.groupBy("dim", "pivot", "ring", "part").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")), "annuli")
 
     def _keyed(self, vectors: DataFrame) -> DataFrame:
@@ -190,9 +193,10 @@ class PivotIndex:
         down = tiles(queries.count(), QUERIES_A_TILE, QUERIES_A_TILE, 1)
         early = materialize(best_k(self._scored(self._visits(queries, k), down, k), k), "early")
         marks = early.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("mark"))
-        # The radius is widened by far more than doubles can be off.
-        reach = F.sqrt(F.greatest(F.lit(0.0), F.col("length2") + self.most2 - 2 * F.col("mark"))) * (1 + 1e-9) + 1e-5 * (1 + self.most2**0.5 * 1e-3)
-        wider = queries.join(marks, "vec_id", "left").withColumn("radius", F.coalesce(reach, F.lit(float("inf"))))
+        # Squared distances are differences of sums of about most2; each is off by some most2 * 2^-50, its root by at most
+        # the root of that, which is below 1e-7 of the greatest length.  The radius is widened by more.
+        reach = F.sqrt(F.greatest(F.lit(0.0), F.col("length2") + self.most2 - 2 * F.col("mark"))) * (1 + 1e-9) + 1e-5 + 3e-7 * self.most2**0.5
+        wider = queries.join(marks, "vec_id", "left").withColumn("radius", F.when(F.col("mark").isNull(), float("inf")).otherwise(reach))
         late = self._scored(self._visits(wider.select("vec_id", "dim", "raw", "radius"), k), down, k)
         return best_k(early.select("query_id", "vec_id", "score").unionByName(late).distinct(), k)
 

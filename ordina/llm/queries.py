@@ -19,10 +19,10 @@ QUERIES = {
 
 #: Brute force in SQL: every query against all rows.
 _EXACT_TOP_K = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(cast(q.e AS DOUBLE[]), cast(c.e AS DOUBLE[])) AS BIGINT) AS score
+s AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(cast(q.e AS DOUBLE[]), cast(c.e AS DOUBLE[])) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

@@ -45,10 +45,9 @@ def unpacked(column: pa.ChunkedArray | pa.Array, dtype=np.float64) -> np.ndarray
     return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1)
 
 
-def one_row_an_id(df: DataFrame) -> DataFrame:
-    """Repeated rows of an id count once; of different vectors under one id that with the least bytes counts."""
-    rest = [c for c in df.columns if c not in ("vec_id", "raw")]
-    return df.groupBy("vec_id").agg(F.min(F.struct("raw", *rest)).alias("v")).select("vec_id", "v.raw", *[f"v.{c}" for c in rest])
+def repeats_dropped(df: DataFrame) -> DataFrame:
+    """Rows of one id and the same vector count once; different vectors under one id all count."""
+    return df.dropDuplicates(["vec_id", "raw"])
 
 
 def tiles(n: int, at_once: int, least: int, slots: int) -> int:
