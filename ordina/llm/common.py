@@ -48,14 +48,16 @@ def drop_tables(*written: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shielded(df: DataFrame, replaced: Sequence[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+def shielded(df: DataFrame, replaced: Sequence[str] = (), **more: Column) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns under neutral names, and those names by the old ones; columns to be replaced are left out.
 
+    ``more`` are columns of ``df`` to have besides, under the names given.
+
     So no column of the input can clash with those an operator joins or adds on its way.
     """
     gone = {c.lower() for c in replaced}
     names = {c: f"input{i}__" for i, c in enumerate(df.columns) if c.lower() not in gone}
-    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *[v.alias(n) for n, v in more.items()]), names
 
 
 def restored(df: DataFrame, names: dict[str, str], changed: dict[str, Column], added: dict[str, Column]) -> DataFrame:
@@ -80,7 +82,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iter
 
 def text_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, so that other columns, whatever their names, never reach the operator."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

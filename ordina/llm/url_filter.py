@@ -3,64 +3,63 @@
 A rule (host, path, verdict) fits its host and all subdomains when the url's path starts with the rule's path; of those
 that fit the longest host + path wins, then the longer host, then the smaller text.  Hosts become keys
 ``reversed labels + '.'``: the hosts under a rule are then the interval of keys that start with the rule's key, and
-intervals nest.  Distinct hosts and rule hosts are sorted together inside ranges of keys; the sweep keeps, for each
-depth of nesting, the rule host opened last, which is the stack of active rules once those that no longer cover the key
-are dropped.  Urls then meet their host's stack by an equi-join (which Spark may split when one host is very common)
+intervals nest.  Distinct hosts are cut into ranges of keys, and sorted there with the rule hosts whose interval meets the
+range; the sweep keeps, for each depth of nesting, the rule host opened last, which is the stack of active rules once those
+that no longer cover the key are dropped.  Urls then meet their host's stack by an equi-join (which Spark may split when one host is very common)
 and the paths of the stack are compared.
 
 Null url, or one without ``://``: host and path are empty and no rule fits.  Repeated rows: each is judged by itself.
 Repeated rules count once; rules with a null host, path or verdict are ignored.  No rules: everything gets the default.
-Other columns of the input are kept unless they clash with those added, which then replace them.
+Other columns of the input are kept, whatever their names; those named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, restored, shielded, table
 
 #: The rules of the query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 ADDED = ("host", "path", "rule", "verdict")
 
 
-def parse(url):
+def parse(url: Column) -> tuple[Column, Column]:
     """Host and path of a url column."""
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.expr("substring(__url, instr(__url, '://') + 3)"), "#", 1))
+    whole = F.lit(2**31 - 1)
+    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.substring(url, F.instr(url, "://") + 3, whole), "#", 1))
     rest = F.coalesce(F.substring_index(rest, "?", 1), F.lit(""))
     host = F.substring_index(rest, "/", 1)
     lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return lower, F.substring(rest, F.length(host) + 1, F.lit(2**31 - 1))
+    return lower, F.substring(rest, F.length(host) + 1, whole)
 
 
-def host_key(host):
+def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
 def sweep(hosts: DataFrame, rules: DataFrame, per_range: int = 100_000) -> DataFrame:
     """``hosts``: distinct ``host``.  ``rules``: ``host``, ``path``, ``verdict``.  Returns ``host`` and its ``stack`` of rules.
 
-    Ranges of keys are cut at approximate quantiles of the hosts' keys (they decide where work goes, not the result);
-    a rule host that reaches into several ranges is opened in each.
+    Ranges of about ``per_range`` keys decide where work goes, not the result; a rule host that reaches into several ranges
+    is opened in each.
     """
     opened = rules.distinct().groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "verdict"))).alias("own"))
     opened = opened.select(host_key(F.col("host")).alias("key"), F.size(F.split("host", r"\.")).alias("depth"), F.struct("host", "own").alias("open"))
-    depths = sorted(r[0] for r in opened.select("depth").distinct().limit(1000).collect())
+    depths = sorted(r[0] for r in opened.select("depth").distinct().collect())  # a number for each count of labels
     keys = hosts.select("host", host_key(F.col("host")).alias("key"))
     if not depths:
         return keys.select("host", F.expr("cast(array() as array<struct<host:string,own:array<struct<path:string,verdict:string>>>>)").alias("stack"))
-    # Where a key's range is: by the hash-free leading numbers of the key, so that order is kept.
-    lead = F.expr("conv(rpad(hex(substring(encode({k}, 'UTF-8'), 1, 7)), 14, '0'), 16, 10)".replace("{k}", "key")).cast("long")
-    last = F.expr("conv(rpad(hex(substring(encode({k}, 'UTF-8'), 1, 7)), 14, 'F'), 16, 10)".replace("{k}", "key")).cast("long")
-    keys = keys.withColumn("lead", lead)
-    n = keys.agg(F.count("*").alias("n")).first()["n"]
-    cuts = sorted(set(keys.approxQuantile("lead", [i / 64 for i in range(1, 64)], 0.005))) if n > per_range else []
-    where = lambda c: reduce(lambda a, cut: a + (c >= F.lit(int(cut))).cast("int"), cuts, F.lit(0))
-    opened = opened.withColumn("range", F.explode(F.sequence(where(lead), where(last)))).select("range", "key", F.lit(0).alias("kind"), "depth", "open", F.lit(None).cast("string").alias("host"))
-    events = opened.unionByName(keys.select(where(F.col("lead")).alias("range"), "key", F.lit(1).alias("kind"), F.lit(0).alias("depth"), F.lit(None).cast(opened.schema["open"].dataType).alias("open"), "host"))
+    n = max(1, -(-keys.count() // per_range))
+    # Bounds of ranges are sampled, so what they gave is written once.
+    keys = materialize(keys.repartitionByRange(n, "key").withColumn("range", F.spark_partition_id()), "url-hosts")
+    bounds = keys.groupBy("range").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))  # a row for per_range hosts
+    bounds = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("range", "lo", "hi")]) for r in bounds.collect()] or [F.lit(None).cast("struct<range:int,lo:string,hi:string>")])
+    meets = lambda r: (r["hi"] >= F.col("key")) & ((r["lo"] <= F.col("key")) | F.startswith(r["lo"], F.col("key")))
+    opened = opened.withColumn("range", F.explode(F.transform(F.filter(bounds, meets), lambda r: r["range"])))
+    opened = opened.select("range", "key", F.lit(0).alias("kind"), "depth", "open", F.lit(None).cast("string").alias("host"))
+    events = opened.unionByName(keys.select("range", "key", F.lit(1).alias("kind"), F.lit(0).alias("depth"), F.lit(None).cast(opened.schema["open"].dataType).alias("open"), "host"))
     so_far = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for d in depths:
         events = events.withColumn(f"slot{d}", F.last(F.when((F.col("kind") == 0) & (F.col("depth") == d), F.struct("key", "open")), ignorenulls=True).over(so_far))
@@ -70,18 +69,15 @@ def sweep(hosts: DataFrame, rules: DataFrame, per_range: int = 100_000) -> DataF
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (host + path of the winner, else null) and ``verdict``."""
-    keep = [c for c in pages.columns if c.lower() not in ADDED and not c.startswith("__")]
-    urls = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(url_col).cast("string").alias("__url"))
-    host, path = parse(F.col("__url"))
-    urls = urls.withColumns({"__host": host, "__path": path}).drop("__url")
+    rows, names = shielded(pages, ADDED, url=F.col(f"`{url_col}`").cast("string"))
+    host, path = parse(F.col("url"))
+    urls = rows.withColumns({"host": host, "path": path}).drop("url")
     rules = rules.select("host", "path", "verdict").dropna()
-    hosts = urls.select(F.col("__host").alias("host")).distinct()
-    stacks = sweep(hosts, rules).where(F.size("stack") > 0).withColumnRenamed("host", "__host")
-    flat = F.flatten(F.transform("stack", lambda s: F.transform(F.filter(s["own"], lambda r: F.startswith(F.col("__path"), r["path"])), lambda r: F.struct(
+    stacks = sweep(urls.select("host").distinct(), rules).where(F.size("stack") > 0)
+    flat = F.flatten(F.transform("stack", lambda s: F.transform(F.filter(s["own"], lambda r: F.startswith(F.col("path"), r["path"])), lambda r: F.struct(
         (F.length(s["host"]) + F.length(r["path"])).alias("n"), F.length(s["host"]).alias("h"), F.concat(s["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")))))
-    best = F.array_max(flat)
-    out = urls.join(stacks, "__host", "left").withColumn("__best", best)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    out = urls.join(stacks, "host", "left").withColumn("best", F.array_max(flat))
+    return restored(out, names, {}, {"host": F.col("host"), "path": F.col("path"), "rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))})
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
