@@ -6,13 +6,13 @@ classifier (one squared-hinge machine for each family, against the rest) names t
 one-versus-one linear support vector machines vote among its languages.  The score is the product of the family's
 and the language's logistic scores of the margins.
 
-Learning takes at most about PER_LANGUAGE labelled texts of each language, chosen by a hash of the id (its features are
-made on the executors); everything else covers all rows.  FAMILIES names the known families; another code is a family
+Learning takes about PER_LANGUAGE labelled texts of each language, however many languages there are, chosen by a hash of the
+id (their features are made on the executors and stay sparse on the driver); everything else covers all rows.  FAMILIES names the known families; another code is a family
 of its own.  Whole texts are read, in learning and in prediction.
 
 Null text, or a text without a letter: ``und`` with score 0 (as for every text where nothing was learned).  Null lang rows
 are not learned from.  Null doc_id: predicted, never learned from, ``held_out`` false.  Repeated rows: each predicted.
-Empty table: empty result.
+Empty table: empty result.  Other columns of the input are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_slices, table
+from .common import byte_slices, restored, shielded, table
 
-DIMS, PER_LANGUAGE, LANGUAGES, C = 1 << 13, 500, 64, 20.0
+DIMS, PER_LANGUAGE, C = 1 << 13, 500, 20.0
 #: Languages by family.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "fy", "lb", "yi"),
@@ -60,37 +60,59 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def squared_hinge(x: np.ndarray, sign: np.ndarray, steps: int = 150) -> np.ndarray:
+class Rows:
+    """Sparse rows: where the values of each row begin, their columns and values.  The last column is always 1 (the bias)."""
+
+    def __init__(self, columns: list[np.ndarray], values: list[np.ndarray]):
+        self.n = len(columns)
+        one = np.full(1, DIMS, np.int64)
+        self.columns = np.concatenate([x for c in columns for x in (c, one)]) if columns else np.zeros(0, np.int64)
+        self.values = np.concatenate([x for v in values for x in (v, np.ones(1, np.float32))]) if values else np.zeros(0, np.float32)
+        self.sizes = np.array([len(c) + 1 for c in columns], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def some(self, rows: np.ndarray) -> Rows:
+        cut = [slice(self.begin[i], self.begin[i] + self.sizes[i] - 1) for i in rows.tolist()]
+        return Rows([self.columns[c] for c in cut], [self.values[c] for c in cut])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.values * w[self.columns], self.begin)
+
+    def weighed(self, g: np.ndarray) -> np.ndarray:
+        """The sum of the rows, each times its number."""
+        return np.bincount(self.columns, weights=self.values * np.repeat(g, self.sizes), minlength=DIMS + 1)
+
+
+def squared_hinge(x: Rows, sign: np.ndarray, steps: int = 150) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
-    v, rate = w.copy(), np.float32(1 / (1 / C + 4.0))
+    share = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
+    w = np.zeros(DIMS + 1)
+    v, rate = w.copy(), 1 / (1 / C + 4.0)
     for t in range(steps):
-        slack = np.maximum(0, 1 - sign * (x @ v))
-        step = v - rate * (v / np.float32(C * 10) - 2 * x.T @ (share * sign * slack))
-        v = step + np.float32(t / (t + 3)) * (step - w)
+        slack = np.maximum(0, 1 - sign * x.times(v))
+        step = v - rate * (v / (C * 10) - 2 * x.weighed(share * sign * slack))
+        v = step + t / (t + 3) * (step - w)
         w = step
-    return w
+    return w.astype(np.float32)
 
 
 class Hierarchy:
     """Families' machines and, inside each family, a machine for each pair of languages."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: Rows, langs: list[str]):
         names = np.array(langs)
         self.languages = sorted(set(langs))
         fams = np.array([family_of(v) for v in langs])
         self.families = sorted(set(fams.tolist()))
         self.members = {f: [v for v in self.languages if family_of(v) == f] for f in self.families}
-        one = lambda mask: squared_hinge(x, np.where(mask, 1, -1).astype(np.float32))
+        one = lambda mask: squared_hinge(x, np.where(mask, 1, -1))
         self.by_family = np.stack([one(fams == f) for f in self.families]) if len(self.families) > 1 else np.zeros((len(self.families), DIMS + 1), np.float32)
         self.pairs = {f: [(i, j, self._pair(x, names, own[i], own[j])) for i in range(len(own)) for j in range(i + 1, len(own))] for f, own in self.members.items()}
 
     @staticmethod
-    def _pair(x: np.ndarray, names: np.ndarray, a: str, b: str) -> np.ndarray:
-        rows = (names == a) | (names == b)
-        return squared_hinge(x[rows], np.where(names[rows] == a, 1, -1).astype(np.float32))
+    def _pair(x: Rows, names: np.ndarray, a: str, b: str) -> np.ndarray:
+        rows = np.flatnonzero((names == a) | (names == b))
+        return squared_hinge(x.some(rows), np.where(names[rows] == a, 1, -1))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -114,46 +136,40 @@ class Hierarchy:
 
 
 def learn(df: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy | None:
-    """A hierarchy from about ``per_language`` labelled texts of each of the LANGUAGES most frequent languages."""
-    rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    """A hierarchy from about ``per_language`` labelled texts of each language."""
+    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where("doc_id is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
-    share = F.lit(-1.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    chosen = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share) & F.col("text").isNotNull())
+    share = F.create_map(*[F.lit(x) for v, n in sorted(counts.items()) for x in (v, min(1.0, per_language / n))])
+    chosen = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(share, F.col("lang"))) & F.col("text").isNotNull())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [(v, np.flatnonzero(c := vector(t)).astype(np.uint16).tobytes(), c[c > 0].tobytes()) for t, v in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if has_letter(t)]
             yield pa.record_batch([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.binary()), pa.array([k[2] for k in keep], pa.binary())], ["lang", "at", "value"])
 
-    got = chosen.mapInArrow(work, "lang string, at binary, value binary").limit(2 * per_language * len(counts)).collect()
+    got = chosen.mapInArrow(work, "lang string, at binary, value binary").collect()  # about per_language rows a language
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
     if not got:
         return None
-    x = np.zeros((len(got), DIMS), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float32)
+    x = Rows([np.frombuffer(r["at"], np.uint16).astype(np.int64) for r in got], [np.frombuffer(r["value"], np.float32) for r in got])
     return Hierarchy(x, [r["lang"] for r in got])
 
 
 def predict(df: DataFrame, model: Hierarchy | None, text_col: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (replacing columns of these names)."""
-    keep = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
-    rows = df.select(*[F.col(f"`{c}`") for c in keep])
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows, names = shielded(df, ("lang_pred", "score"), text__=F.col(f"`{text_col}`").cast("string"))
+    kept = [f for f in rows.schema.fields if f.name != "text__"]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            named = batch.set_column(at, "text__", batch.column(at).cast(pa.string()))
-            for part in byte_slices(named, "text__", 4 << 20):
+            for part in byte_slices(batch, "text__", 4 << 20):
                 for a in range(0, part.num_rows, 256):
                     own = part.slice(a, 256)
-                    texts = own.column(at).to_pylist()
+                    texts = own.column("text__").to_pylist()
                     usable = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
                     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
                     if usable:
@@ -161,9 +177,9 @@ def predict(df: DataFrame, model: Hierarchy | None, text_col: str = "text") -> D
                         scores[usable] = sure
                         for i, v in zip(usable, found, strict=True):
                             langs[i] = v
-                    yield pa.record_batch([*own.columns, pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+                    yield pa.record_batch([*own.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], [*(f.name for f in kept), "lang_pred", "score"])
 
-    return rows.mapInArrow(work, schema)
+    return restored(rows.mapInArrow(work, schema), names, {}, {"lang_pred": F.col("lang_pred"), "score": F.col("score")})
 
 
 def held_out(id_col: str = "doc_id"):
