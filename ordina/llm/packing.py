@@ -10,8 +10,8 @@ words a worker does not remember go through the tokenizer.  Texts with a charact
 engines' tables of letters and cases might differ, and texts with ``<|`` go through the tokenizer whole.  Strings of
 special tokens in a text are ordinary text.
 
-Null or empty text: the closing id alone.  Repeated rows: each is packed (under its id).  Null doc_id: packed like others.
-Empty table: empty result.
+Null or empty text: the closing id alone.  Repeated rows: each is packed (under its id), dealt by its own row number.  Null
+doc_id: packed like others.  Empty table: empty result.  Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import materialize, table, text_columns
 
 LENGTH, CLOSING, GROUP, REMEMBERED = 2048, 1, 2048, 800_000
 #: Characters for which splitting and lower-casing are the same everywhere: ASCII but its controls, Latin letters, punctuation.
@@ -180,7 +180,8 @@ def pack(pieces_of_all: DataFrame, capacity: int = LENGTH, group: int = GROUP) -
     n = pieces_of_all.count()
     groups = max(1, round(n / group))
     columns = pieces_of_all.columns
-    dealt = pieces_of_all.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    # Each row's own number is in the hash, so that repeated rows are dealt to all groups.
+    dealt = pieces_of_all.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -192,7 +193,7 @@ def pack(pieces_of_all: DataFrame, capacity: int = LENGTH, group: int = GROUP) -
 
 
 def pack_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = text_columns(df, id_col, text_col)
     return pack(materialize(pieces(docs, path or vocabulary()), "pieces"))
 
 
