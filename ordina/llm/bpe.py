@@ -146,7 +146,7 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-SLICED = "slice long, bucket int, docs array<bigint>, valid array<boolean>, counts array<int>, codes binary, places binary, words array<binary>"
+SLICED = "slice long, bucket int, docs array<bigint>, valid array<boolean>, counts array<int>, codes binary, places binary, words binary, lengths binary"
 FOLDED = "slice long, bucket int, n int, sizes binary, ids binary, lengths binary, decoded binary"
 
 #: The pattern that ``piece_starts`` splits by, and its contractions.
@@ -217,6 +217,11 @@ def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.diff(np.searchsorted(starts, ends, "right"), prepend=0)
 
 
+def _little_memory() -> None:
+    """Arrow's own pool keeps what it freed; several workers of an executor would each keep their most."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def _arrays(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(values, kind) for _, kind, values in columns], [name for name, _, _ in columns])
 
@@ -239,23 +244,29 @@ def _slice(ident: int, ids: list[pa.Array], pieces: list[pa.Array], counts: list
         yield _arrays([
             ("slice", pa.int64(), [ident]), ("bucket", pa.int32(), none), ("docs", pa.list_(pa.int64()), [np.asarray(pc.fill_null(docs, 0))]),
             ("valid", pa.list_(pa.bool_()), [pc.is_valid(docs).to_pylist()]), ("counts", pa.list_(pa.int32()), [(sizes - 1).astype(np.int32)]),
-            ("codes", pa.binary(), [_compressed(codes)]), ("places", pa.binary(), [_compressed(place)]), ("words", pa.list_(pa.binary()), none),
+            ("codes", pa.binary(), [_compressed(codes)]), ("places", pa.binary(), [_compressed(place)]), ("words", pa.binary(), none), ("lengths", pa.binary(), none),
         ])
         return
     found, first = np.unique(where[order], return_index=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), words.take(pa.array(order)))
-    for a in range(0, len(found), 4096):
-        b = min(len(found), a + 4096)
-        empty = lambda kind, n=b - a: pa.nulls(n, kind)
-        yield pa.record_batch([
-            pa.array(np.full(b - a, ident)), pa.array(found[a:b].astype(np.int32)), empty(pa.list_(pa.int64())), empty(pa.list_(pa.bool_())), empty(pa.list_(pa.int32())), empty(pa.binary()), empty(pa.binary()), lists.slice(a, b - a),
-        ], ["slice", "bucket", "docs", "valid", "counts", "codes", "places", "words"])
+    ends = np.append(first[1:], len(order))
+    words = words.take(pa.array(order))
+    lengths = np.asarray(pc.binary_length(words), "<u4")
+    raw = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] else np.zeros(0, np.uint8)
+    at = np.append(0, np.cumsum(lengths, dtype=np.int64))
+    for x in range(0, len(found), 1024):
+        own = list(zip(first[x : x + 1024].tolist(), ends[x : x + 1024].tolist(), strict=True))
+        yield _arrays([
+            ("slice", pa.int64(), [ident] * len(own)), ("bucket", pa.int32(), found[x : x + 1024].astype(np.int32)), ("docs", pa.list_(pa.int64()), none * len(own)),
+            ("valid", pa.list_(pa.bool_()), none * len(own)), ("counts", pa.list_(pa.int32()), none * len(own)), ("codes", pa.binary(), none * len(own)), ("places", pa.binary(), none * len(own)),
+            ("words", pa.binary(), [_compressed(raw[at[i] : at[j]]) for i, j in own]), ("lengths", pa.binary(), [_compressed(lengths[i:j]) for i, j in own]),
+        ])
 
 
 def _sliced(buckets: int, numbers: bool):
     """Batches of documents to the numbers, or to the distinct pieces, of slices of about SLICE bytes of text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _little_memory()
         context = TaskContext.get()
         ident = (context.partitionId() if context else 0) << 8
         held, size = ([], [], []), 0
@@ -268,26 +279,24 @@ def _sliced(buckets: int, numbers: bool):
                 if size >= SLICE:
                     yield from _slice(ident, *held, buckets, numbers)
                     held, size, ident = ([], [], []), 0, ident + 1
-                    pa.default_memory_pool().release_unused()
         if held[0]:
             yield from _slice(ident, *held, buckets, numbers)
-        del held
-        pa.default_memory_pool().release_unused()
 
     return work
 
 
 def _met(rows: pa.Table) -> pa.Table:
     """A bucket: its distinct pieces, and for each slice their places in the slice's order."""
-    rows = rows.select(["slice", "bucket", "words"]).combine_chunks()
-    lists = rows.column("words").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    coded = lists.flatten().dictionary_encode()
+    _little_memory()
+    lengths = [_numbers(x) for x in rows.column("lengths").to_pylist()]
+    raw = b"".join([_decompressed(x) for x in rows.column("words").to_pylist()])
+    offsets = np.append(0, np.cumsum(np.concatenate(lengths), dtype=np.int64)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-    uses = [codes[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+    ends = np.cumsum([len(x) for x in lengths]).tolist()
+    uses = [codes[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.table([rows.column("bucket").slice(0, 1), one(coded.dictionary), one(rows.column("slice").combine_chunks()), one(pa.array(uses, pa.binary()))], ["bucket", "words", "slices", "uses"])
+    return pa.table([rows.column("bucket").slice(0, 1), one(coded.dictionary), one(pa.array(rows.column("slice").to_pylist(), pa.int64())), one(pa.array(uses, pa.binary()))], ["bucket", "words", "slices", "uses"])
 
 
 def _blob(values: list[np.ndarray], kind: str) -> bytes:
@@ -300,12 +309,15 @@ def _taken(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.repeat(begin - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
 
 
+def _bytes_of(path: str, ids: np.ndarray) -> bytes:
+    tokens = {v: k for k, v in ranks_of(path).items()}
+    return b"".join([tokens[i] for i in ids.tolist()])
+
+
 def _sent_back(path: str):
     """Folded buckets to a row for each slice: its pieces' ids and decoded bytes, in the slice's order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_of(path)
-        tokens = {v: k for k, v in ranks.items()}
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
@@ -317,8 +329,8 @@ def _sent_back(path: str):
                 begin, start = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
                 # Pieces that were too long to fold.
                 long = np.flatnonzero(~pc.is_valid(lists).to_numpy(zero_copy_only=False))
-                own = [np.array(merged_by_heap(words[i].as_py(), ranks), "<u4") for i in long.tolist()]
-                text = [b"".join([tokens[i] for i in x.tolist()]) for x in own]
+                own = [np.array(merged_by_heap(words[i].as_py(), ranks_of(path)), "<u4") for i in long.tolist()]
+                text = [_bytes_of(path, x) for x in own]
                 begin[long], sizes[long] = len(flat) + np.cumsum([0, *map(len, own)])[:-1], [len(x) for x in own]
                 start[long], lengths[long] = len(raw) + np.cumsum([0, *map(len, text)])[:-1], [len(x) for x in text]
                 flat, raw = np.concatenate([flat, *own]), np.concatenate([raw, *[np.frombuffer(x, np.uint8) for x in text]])
@@ -355,6 +367,7 @@ def _assembled(digests: bool):
     """A slice's numbers and its pieces' ids and bytes to a row for each document."""
 
     def work(numbers: pa.Table, folded: pa.Table) -> pa.Table:
+        _little_memory()
         names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
         kinds = [pa.int64(), pa.int64(), *((pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary()))]
         if not numbers.num_rows:
@@ -399,12 +412,12 @@ def encode_decode(df: DataFrame, path: str | None = None, digests: bool = False,
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     # As many buckets as keep the pieces of one to what a task holds, whatever the input.
     buckets = min(BUCKETS_MOST, max(partitions(spark), 2 * docs.rdd.getNumPartitions()))
-    pieces = docs.mapInArrow(_sliced(buckets, False), SLICED).select("slice", "bucket", "words")
+    pieces = docs.mapInArrow(_sliced(buckets, False), SLICED).select("slice", "bucket", "words", "lengths")
     met = pieces.groupBy("bucket").applyInArrow(_met, "bucket int, words array<binary>, slices array<bigint>, uses array<binary>")
     folded = met.withColumn("ranks", rank_literal(spark, path)).withColumn("ids", _let(F.col("ranks"), lambda m: F.transform(F.col("words"), lambda w: folded_ids(w, m)))).drop("ranks")
     folded = folded.withColumn("tokens", token_literal(spark, path)).withColumn("decoded", _let(F.col("tokens"), lambda t: F.transform(F.col("ids"), lambda i: joined_tokens(i, t)))).drop("tokens")
     back = folded.mapInArrow(_sent_back(path), FOLDED)
-    numbers = docs.mapInArrow(_sliced(buckets, True), SLICED).drop("bucket", "words")
+    numbers = docs.mapInArrow(_sliced(buckets, True), SLICED).drop("bucket", "words", "lengths")
     end = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
     return numbers.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(_assembled(digests), f"doc_id long, n_tokens long, {end}")
 
