@@ -43,25 +43,24 @@ def with_position(df: DataFrame, keys: Sequence[SortKey], name: str = "pos") ->
 def extremes(df: DataFrame, keys: Sequence[SortKey], by: Sequence[str] = ()) -> DataFrame:
     """First and last key (structs ``min_key``, ``max_key``) in the keys' order and the rows, for each group; null of no rows.
 
-    One pass with partial aggregation: each key is turned to an ascending, nulls-first form where its type allows, and
-    groups keep the least and greatest of it.
+    A null in ``by`` is a group like any other.  Ascending keys take one aggregation with partial results; with a descending
+    key a group is sorted once and its first and last rows are aggregated.
     """
     checked_keys(df.schema, keys)
     key = F.struct(*[k.column().alias(k.name) for k in keys])
     if all(not k.descending for k in keys):
         rank = F.struct(*[x for k in keys for x in (F.when(k.column().isNull(), 0 if k.nulls_first else 2).otherwise(1).alias(f"n_{k.name}"), k.column().alias(k.name))])
         return df.groupBy(*by).agg(F.min_by(key, rank).alias("min_key"), F.max_by(key, rank).alias("max_key"), F.count("*").alias("n_rows"))
-    def end(turned: Sequence[SortKey], name: str) -> DataFrame:
-        if not by:
-            return df.orderBy(*orders(turned)).limit(1).select(key.alias(name))
-        w = Window.partitionBy(*by).orderBy(*orders(turned))
-        return df.select(*by, key.alias(name), F.row_number().over(w).alias("__k")).where("__k = 1").drop("__k")
-    first, last = end(keys, "min_key"), end([k.reversed() for k in keys], "max_key")
-    counts = df.groupBy(*by).agg(F.count("*").alias("n_rows"))
     if not by:
-        one = lambda d: d.withColumn("__one", F.lit(1))
-        return one(counts).join(one(first), "__one", "left").join(one(last), "__one", "left").select("min_key", "max_key", "n_rows")
-    return counts.join(first, list(by)).join(last, list(by)).select(*by, "min_key", "max_key", "n_rows")
+        end = lambda turned, name: df.orderBy(*orders(turned)).limit(1).select(key.alias(name), F.lit(1).alias("__one"))
+        counts = df.agg(F.count("*").alias("n_rows")).withColumn("__one", F.lit(1))
+        both = counts.join(end(keys, "min_key"), "__one", "left").join(end([k.reversed() for k in keys], "max_key"), "__one", "left")
+        return both.select("min_key", "max_key", "n_rows")
+    group = Window.partitionBy(*by)
+    placed = df.select(*by, key.alias("__key"), F.row_number().over(group.orderBy(*orders(keys))).alias("__k"), F.count("*").over(group).alias("__n"))
+    ends = placed.where("__k = 1 or __k = __n").groupBy(*by)
+    one = lambda place: F.first(F.when(F.col("__k") == place, F.col("__key")), ignorenulls=True)
+    return ends.agg(one(F.lit(1)).alias("min_key"), one(F.col("__n")).alias("max_key"), F.max("__n").alias("n_rows"))
 
 
 def output_batches(df: DataFrame, keys: Sequence[SortKey], size: int) -> DataFrame:

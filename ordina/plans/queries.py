@@ -5,6 +5,8 @@ Order is made visible as values (positions, runs, groups), and every position br
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.keys import SortKey
 from ..operators import check, merge
 from ..operators.sort import extremes, output_batches, sorted_groups, sorted_groups_by_batch, split_at, with_position
+from ..sources.parquet import declared_spec, scan_in_order, write_sorted, write_sorted_groups, write_with_footer
+from ..streaming.writer import SortingWriter, WriterOptions
 from .progress import progress_frame
 from .runs import FlushThreshold, assign_runs
 
@@ -72,7 +76,7 @@ _sorted("sort_event_stream", "events", EVENTS, [SortKey("event_type"), SortKey("
 
 def merge_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").withColumn("run_id", F.col("l_orderkey") % 8)
-    merged = merge.union_runs([rows.where(F.col("run_id") == i) for i in range(8)])
+    merged = merge.union_runs([rows.where("run_id < 4"), rows.where("run_id >= 4")])
     return with_position(merged, _KEYS).select("l_orderkey", "l_linenumber", "run_id", "pos")
 
 
@@ -100,6 +104,17 @@ t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY price DESC NULLS
 SELECT run_id, max(CASE WHEN k = 1 THEN price END) AS first_price, max(CASE WHEN k = 1 THEN o_orderkey END) AS first_order, max(CASE WHEN k = n THEN price END) AS last_price, max(CASE WHEN k = n THEN o_orderkey END) AS last_order, max(n) AS n_rows FROM t GROUP BY run_id""")
 
 
+def run_extremes_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select(F.expr("CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END").alias("run_id"), "o_totalprice", "o_orderkey")
+    found = extremes(rows, [SortKey("o_totalprice", True), SortKey("o_orderkey")], ["run_id"])
+    return found.select("run_id", F.col("min_key.o_orderkey").alias("first_order"), F.col("max_key.o_orderkey").alias("last_order"), "n_rows")
+
+
+_add("run_extremes_null_group", run_extremes_null_group, """WITH s AS (SELECT CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS run_id, o_totalprice, o_orderkey FROM orders),
+t AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM s)
+SELECT run_id, max(CASE WHEN k = 1 THEN o_orderkey END) AS first_order, max(CASE WHEN k = n THEN o_orderkey END) AS last_order, max(n) AS n_rows FROM t GROUP BY run_id""")
+
+
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = 4 * 8 + F.octet_length("event_type") + F.octet_length("props")
     return _table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / BATCH).alias("batch_no")).agg(F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"))
@@ -189,13 +204,73 @@ _add("first_violation", first_violation, f"{_LAG} SELECT pos, 'event_type' AS co
 
 def finish_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders")
+    batches = rows.groupBy(F.floor(F.col("o_orderkey") / BATCH).alias("batch_no")).agg(F.count("*").alias("n_rows"), F.lit(0).alias("n_bytes"))
+    runs = assign_runs(batches, FlushThreshold.rows(2000)).agg(F.max("run_id")).first()[0] + 1
     sizes = output_batches(rows, [SortKey("o_orderkey")], 4000).groupBy("batch").agg(F.count("*").alias("n_rows"))
-    return progress_frame(sizes, 8)
+    return progress_frame(sizes, runs)
 
 
-_add("finish_progress", finish_progress, """WITH t AS (SELECT cast(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 4000) AS BIGINT) AS batch FROM orders), b AS (SELECT batch, count(*) AS n FROM t GROUP BY 1),
+_add("finish_progress", finish_progress, f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (ORDER BY batch_no) AS k FROM (SELECT cast(floor(o_orderkey / {BATCH}) AS BIGINT) AS batch_no, count(*) AS n FROM orders GROUP BY 1)),
+f AS (SELECT k, cast(0 AS BIGINT) AS run_id, n AS r FROM o WHERE k = 1 UNION ALL SELECT o.k, f.run_id + CASE WHEN f.r >= 2000 THEN 1 ELSE 0 END, CASE WHEN f.r >= 2000 THEN 0 ELSE f.r END + o.n FROM f JOIN o ON o.k = f.k + 1),
+t AS (SELECT cast(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 4000) AS BIGINT) AS batch FROM orders), b AS (SELECT batch, count(*) AS n FROM t GROUP BY 1),
 c AS (SELECT batch, cast(sum(n) OVER (ORDER BY batch) AS BIGINT) AS rows_written, row_number() OVER (ORDER BY batch) AS batches_written, cast(sum(n) OVER () AS BIGINT) AS total_rows FROM b)
-SELECT *, cast(8 AS BIGINT) AS num_runs, 'Merging' AS phase, cast(rows_written AS DOUBLE) / total_rows AS fraction_complete FROM c""")
+SELECT *, (SELECT max(run_id) + 1 FROM f) AS num_runs, 'Merging' AS phase, cast(rows_written AS DOUBLE) / total_rows AS fraction_complete FROM c""")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new place for what a round trip writes: in the shared folder, or in a private one where none is set (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ordina-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def _in_file_order(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """What was written, with each row's place in the order of files and of rows in them."""
+    placed = with_position(scan_in_order(spark, path).select(column, "__file", "__row"), [SortKey("__file"), SortKey("__row")])
+    return placed.select(column, "pos")
+
+
+def roundtrip_sorted_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches through the writer and its runs, and the result read back in file order."""
+    rows, path = _table(spark, sf_dir, "orders"), _folder(spark, "sorted")
+    writer = SortingWriter(spark, path, rows.schema, [SortKey("o_totalprice", True), SortKey("o_orderkey")], WriterOptions(FlushThreshold.rows(4000)))
+    for i in range(3):
+        writer.write(rows.where(F.col("o_orderkey") % 3 == i))
+    writer.finish()
+    return _in_file_order(spark, path, "o_orderkey")
+
+
+_add("roundtrip_sorted_write", roundtrip_sorted_write, "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS pos FROM orders")
+
+
+def roundtrip_sorted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, written by the plain sink."""
+    path = _folder(spark, "sorted-file")
+    write_sorted(_table(spark, sf_dir, "events"), path, [SortKey("event_type", True), SortKey("event_id")], one_file=True, row_group=1000)
+    return _in_file_order(spark, path, "event_id")
+
+
+_add("roundtrip_sorted_file", roundtrip_sorted_file, "SELECT event_id, row_number() OVER (ORDER BY event_type DESC NULLS LAST, event_id) AS pos FROM events")
+
+
+def roundtrip_sorted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of 1500 rows by arrival, each sorted, read back in file order."""
+    path = _folder(spark, "sorted-groups")
+    write_sorted_groups(_table(spark, sf_dir, "events"), path, [SortKey("user_id"), SortKey("event_id")], 1500, [SortKey("event_id")])
+    return _in_file_order(spark, path, "event_id")
+
+
+_add("roundtrip_sorted_groups", roundtrip_sorted_groups, """WITH g AS (SELECT event_id, user_id, cast(floor((row_number() OVER (ORDER BY event_id) - 1) / 1500) AS BIGINT) AS group_id FROM events)
+SELECT event_id, row_number() OVER (ORDER BY group_id, user_id NULLS LAST, event_id) AS pos FROM g""")
+
+
+def roundtrip_footer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file with its keys in the footer, read back by the order that the footer declares."""
+    path = _folder(spark, "footer") + ".parquet"
+    write_with_footer(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path, [SortKey("o_custkey"), SortKey("o_orderkey")], 2000)
+    return with_position(spark.read.parquet(path), declared_spec(spark, path)).select("o_orderkey", "pos")
+
+
+_add("roundtrip_footer_file", roundtrip_footer_file, "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey NULLS LAST, o_orderkey) AS pos FROM orders")
 
 
 def total_rows_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:

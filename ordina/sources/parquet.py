@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NoSortKeys
 from ..functions.keys import SortKey, checked_keys, orders, parse_sort_key
-from ..plans.runs import DEFAULT_ROW_GROUP
+from ..plans.runs import DEFAULT_ROW_GROUP, estimated_bytes
 
 SPEC = "ordina.sort_key"
 
@@ -42,11 +42,40 @@ def with_spec(df: DataFrame, keys: Sequence[SortKey], key_values: dict[str, str]
 
 
 def spec_of(df: DataFrame) -> list[SortKey]:
-    """The sort keys in the metadata of ``df``; an error if there are none."""
+    """The sort keys in the metadata of ``df``'s columns; an error if there are none."""
     found = [(json.loads(f.metadata[SPEC]), f.name) for f in df.schema.fields if SPEC in (f.metadata or {})]
     if not found:
         raise NoSortKeys("the files declare no sort keys")
-    return [SortKey(name, (k := parse_sort_key("x:" + spec["key"].rsplit(":", 2)[1] + ":" + spec["key"].rsplit(":", 2)[2])).descending, k.nulls_first) for spec, name in sorted(found, key=lambda x: x[0]["place"])]
+    keys = [(spec["place"], name, parse_sort_key("x:" + ":".join(spec["key"].rsplit(":", 2)[1:]))) for spec, name in found]
+    return [SortKey(name, k.descending, k.nulls_first) for _, name, k in sorted(keys, key=lambda x: x[0])]
+
+
+def footer_spec(path: str) -> list[SortKey]:
+    """The ``sorting_columns`` in the footer of one Parquet file (of its first row group), whoever wrote it; [] if there are none.
+
+    Only the footer is read, through pyarrow's file systems.  Keys are top-level columns.
+    """
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    with where.open_input_file(inner) as f:
+        meta = pq.ParquetFile(f).metadata
+    if not meta.num_row_groups:
+        return []
+    return [SortKey(meta.schema.column(c.column_index).path.split(".")[0], c.descending, c.nulls_first) for c in meta.row_group(0).sorting_columns]
+
+
+def declared_spec(spark: SparkSession, path: str) -> list[SortKey]:
+    """The sort keys that files declare: by their columns' metadata, or else by the footer of the first file."""
+    df = spark.read.parquet(path)
+    try:
+        return spec_of(df)
+    except NoSortKeys:
+        for name in sorted(df.inputFiles())[:1]:
+            if keys := footer_spec(name.replace("file:///", "/")):
+                return keys
+        raise
 
 
 def key_values_of(df: DataFrame) -> dict[str, str]:
@@ -57,7 +86,7 @@ def spec_warnings(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """A warning for each file whose declared keys are not those of the first file."""
     def of(path: str) -> list[SortKey] | None:
         try:
-            return spec_of(spark.read.parquet(path))
+            return declared_spec(spark, path)
         except NoSortKeys:
             return None
 
@@ -65,6 +94,16 @@ def spec_warnings(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return [f"{p}: declares {[k.text() for k in own] if own else 'no keys'}, not those of {paths[0]}" for p in paths[1:] if (own := of(p)) != first]
 
 
+def group_options(df: DataFrame, rows: int) -> dict[str, str]:
+    """Writer options for row groups of ``rows`` rows, whatever their bytes: Parquet also ends a group at a size, so that is raised.
+
+    The size follows from the widest row by the documented estimate; a group is held in memory until it is full.
+    """
+    widest = df.agg(F.max(estimated_bytes(df.schema))).first()[0] or 0
+    size = max(128 << 20, 2 * rows * (widest + 16 * len(df.columns)))
+    return {"parquet.block.row.count.limit": str(rows), "parquet.block.size": str(size), "parquet.memory.pool.ratio": "0.95"}
+
+
 def write_sorted(df: DataFrame, path: str, keys: Sequence[SortKey], one_file: bool = False, row_group: int | None = None, key_values: dict[str, str] | None = None, mode: str = "errorifexists", merge_sort: bool = False, **options: str) -> None:
     """Write all rows in the keys' order: files in range order, or one file (no shuffle: one task sorts and spills).
 
@@ -73,15 +112,16 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[SortKey], one_file: bo
     """
     df = with_spec(df, keys, key_values)
     ordered = df.coalesce(1).sortWithinPartitions(*orders(keys)) if one_file else df.orderBy(*orders(keys))
-    limit = {"parquet.block.row.count.limit": str(row_group)} if row_group else {}
-    ordered.write.mode(mode).options(**limit, **options).parquet(path)
+    limit = group_options(df, row_group) if row_group else {}
+    ordered.write.mode(mode).options(**{**limit, **options}).parquet(path)
 
 
 def write_sorted_groups(df: DataFrame, path: str, keys: Sequence[SortKey], group_rows: int = DEFAULT_ROW_GROUP, arrival: Sequence[SortKey] | None = None, mode: str = "errorifexists", **options: str) -> None:
     """Write row groups of ``group_rows`` rows by arrival, each sorted by the keys.
 
     Without ``arrival``, ``df`` must come from :func:`scan_in_order`.  Whole groups stay together in a file: rows are dealt
-    by ranges of groups, so many tasks write at once and every row group but the last is full.
+    by ranges of groups, so many tasks write at once and every row group but the last is full.  A file takes one group, so
+    that no row group can reach into two of them.
     """
     from ..operators.sort import with_position
 
@@ -90,7 +130,8 @@ def write_sorted_groups(df: DataFrame, path: str, keys: Sequence[SortKey], group
     placed = with_position(df, arrival, "__at").withColumn("__group", F.floor((F.col("__at") - 1) / group_rows))
     ranged = placed.repartitionByRange("__group").sortWithinPartitions("__group", *orders(keys), "__at")
     out = ranged.drop("__at", "__group", *[k.name for k in arrival if k.name.startswith("__")])
-    with_spec(out, keys).write.mode(mode).options(**{"parquet.block.row.count.limit": str(group_rows)}, **options).parquet(path)
+    limit = {**group_options(df, group_rows), "maxRecordsPerFile": str(group_rows)}
+    with_spec(out, keys).write.mode(mode).options(**{**limit, **options}).parquet(path)
 
 
 def write_with_footer(df: DataFrame, path: str, keys: Sequence[SortKey], row_group: int = DEFAULT_ROW_GROUP, key_values: dict[str, str] | None = None) -> None:
@@ -99,8 +140,10 @@ def write_with_footer(df: DataFrame, path: str, keys: Sequence[SortKey], row_gro
     One task streams the sorted rows through pyarrow into a temporary name and renames it at the end; ``path`` must be in
     a file system that this task and its readers share.
     """
-    keys = checked_keys(df.schema, keys)
-    names = df.columns
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    keys, path = checked_keys(df.schema, keys), path.removeprefix("file://")
+    names, plain = df.columns, to_arrow_schema(df.schema)
 
     def write(batches: Iterator) -> Iterator:
         import os
@@ -109,25 +152,27 @@ def write_with_footer(df: DataFrame, path: str, keys: Sequence[SortKey], row_gro
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        temporary, writer, rows = f"{path}.{uuid.uuid4().hex}", None, 0
+        temporary, rows, pending = f"{path}.{uuid.uuid4().hex}", 0, []
+        schema = plain.with_metadata({**(plain.metadata or {}), **{k.encode(): v.encode() for k, v in (key_values or {}).items()}})
         places = [pq.SortingColumn(names.index(k.name), k.descending, k.nulls_first) for k in keys]
-        pending: list = []
-        for batch in batches:
-            if writer is None:
-                schema = batch.schema.with_metadata({**(batch.schema.metadata or {}), **{k.encode(): v.encode() for k, v in (key_values or {}).items()}})
-                writer = pq.ParquetWriter(temporary, schema, sorting_columns=places)
-            rows += batch.num_rows
-            pending.append(batch)
-            held = pa.Table.from_batches(pending)
-            while held.num_rows >= row_group:
-                writer.write_table(held.slice(0, row_group).cast(schema), row_group_size=row_group)
-                held = held.slice(row_group)
-            pending = held.to_batches()
-        if writer is not None:
-            if pending:
-                writer.write_table(pa.Table.from_batches(pending).cast(schema), row_group_size=row_group)
-            writer.close()
+        os.makedirs(os.path.dirname(temporary) or ".", exist_ok=True)
+        try:
+            with pq.ParquetWriter(temporary, schema, sorting_columns=places) as writer:
+                for batch in batches:
+                    rows += batch.num_rows
+                    pending.append(pa.Table.from_batches([batch]).cast(schema))
+                    held = pa.concat_tables(pending)
+                    while held.num_rows >= row_group:
+                        writer.write_table(held.slice(0, row_group), row_group_size=row_group)
+                        held = held.slice(row_group)
+                    pending = [held]
+                if pending and pending[0].num_rows:
+                    writer.write_table(pending[0], row_group_size=row_group)
             os.replace(temporary, path)
+        finally:
+            if os.path.exists(temporary):
+                os.remove(temporary)
         yield pa.record_batch([pa.array([rows], pa.int64())], ["rows"])
 
-    df.coalesce(1).sortWithinPartitions(*orders(keys)).mapInArrow(write, "rows long").collect()
+    # An empty frame can have no partition at all; one is needed to write the empty file.
+    df.repartition(1).sortWithinPartitions(*orders(keys)).mapInArrow(write, "rows long").collect()

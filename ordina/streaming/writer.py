@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,47 @@ from ..plans.runs import DEFAULT_RUN_ROWS, FlushThreshold, estimated_bytes, run_
 from ..sources.parquet import write_sorted, write_sorted_groups
 
 
+def _at(spark: SparkSession, path: str):
+    """Hadoop's file system and path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    system, where = _at(spark, path)
+    return int(system.getContentSummary(where).getLength())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, where = _at(spark, path)
+    system.delete(where, True)
+
+
+def _while_writing(spark: SparkSession, write: Callable[[], None]) -> Iterator[float]:
+    """The share of tasks done in the last stage of the jobs that ``write`` starts, again and again; at its end 1."""
+    context, group, failed = spark.sparkContext, uuid.uuid4().hex, []
+
+    def run() -> None:
+        context.setJobGroup(group, "sorted write")
+        try:
+            write()
+        except BaseException as e:  # raised again below, in the caller's thread
+            failed.append(e)
+
+    thread = InheritableThread(target=run)
+    thread.start()
+    while thread.is_alive():
+        thread.join(0.2)
+        tracker = context.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+        stages = [tracker.getStageInfo(max(j.stageIds)) for j in jobs if j and j.stageIds and j.status == "RUNNING"]
+        shares = [s.numCompletedTasks / s.numTasks for s in stages if s and s.numTasks > 1]
+        yield 0.99 * max(shares) if len(shares) == 1 and len(jobs) > 1 else 0.0
+    if failed:
+        raise failed[0]
+    yield 1.0
+
+
 @dataclass(frozen=True)
 class WriterOptions:
     threshold: FlushThreshold = FlushThreshold()
@@ -31,7 +73,8 @@ class SortingWriter:
     """Globally sorted output from batches in any order.
 
     A batch with the fixed schema is kept until the threshold is reached after it; then the kept batches become one sorted
-    run in ``run_dir`` (shared storage).  ``finish`` merges the runs.  Batches without rows are ignored.
+    run in ``run_dir`` (shared storage).  ``finish`` merges the runs and deletes them.  Batches without rows are ignored.  A
+    batch is evaluated once: what is counted is what becomes part of a run.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[SortKey], options: WriterOptions | None = None):
@@ -50,8 +93,10 @@ class SortingWriter:
 
     def write(self, batch: DataFrame) -> None:
         self._open()
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         found = batch.agg(F.count("*").alias("n"), F.sum(estimated_bytes(batch.schema)).alias("b")).first()
         if not found["n"]:
+            batch.unpersist()
             return
         plain = lambda s: [(f.name, f.dataType.simpleString()) for f in s.fields]
         if plain(batch.schema) != plain(self.schema):
@@ -68,20 +113,29 @@ class SortingWriter:
         if self._kept:
             run = union_runs(self._kept).orderBy(*orders(self.keys))
             run.write.mode("overwrite").options(**self.options.run_options).parquet(f"{self.run_dir}/{run_name(self.num_run_files)}")
+            for batch in self._kept:
+                batch.unpersist()
             self.num_run_files += 1
             self._kept, self.in_progress_rows, self.in_progress_bytes = [], 0, 0
 
-    def finish(self, row_group: int | None = None, handler: Handler = no_progress, one_file: bool = False) -> int:
-        """Write the result; returns its rows.  The handler is told of each output batch, and of nothing without runs."""
+    def finish(self, row_group: int | None = None, handler: Handler = no_progress, one_file: bool = False, mode: str = "errorifexists") -> int:
+        """Write the result; returns its rows.  Without runs the handler is told of nothing.
+
+        The handler is told of each output batch as soon as the share of the writing tasks that have ended passes it.
+        """
         self._open()
         self.flush_buffer()
         self._closed = True
         paths = [f"{self.run_dir}/{run_name(i)}" for i in range(self.num_run_files)]
         merged = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-        write_sorted(merged, self.path, self.keys, one_file, row_group, self.key_values, merge_sort=self.options.merge_sort)
-        total = self.spark.read.parquet(self.path).count()
-        for p in progress_rows(total, row_group or DEFAULT_RUN_ROWS, self.num_run_files):
-            handler(p)
+        total = merged.count() if paths else 0
+        left = progress_rows(total, row_group or DEFAULT_RUN_ROWS, self.num_run_files)
+        for share in _while_writing(self.spark, lambda: write_sorted(merged, self.path, self.keys, one_file, row_group, self.key_values, mode, self.options.merge_sort)):
+            while left and left[0].rows_written <= share * total:
+                handler(left.pop(0))
+        self.bytes_written = _size(self.spark, self.path)
+        for path in [*paths, *([self.run_dir] if self.options.run_dir is None else [])]:
+            _delete(self.spark, path)
         return total
 
     def _open(self) -> None:
@@ -126,7 +180,7 @@ def stream_runs(stream: DataFrame, run_dir: str, keys: Sequence[SortKey], checkp
     checked_keys(stream.schema, keys)
 
     def one(batch: DataFrame, ident: int) -> None:
-        batch.sortWithinPartitions(*orders(keys)).write.mode("overwrite").parquet(f"{run_dir}/{run_name(ident)}")
+        batch.orderBy(*orders(keys)).write.mode("overwrite").parquet(f"{run_dir}/{run_name(ident)}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
