@@ -14,7 +14,10 @@ Null or wordless text: fingerprint zero, linked like any other.  Null doc_id: th
 
 Where documents are to be one at a Jaccard similarity of their shingles (the pipeline: five words, 0.8), 3 bits miss most pairs:
 :func:`similar_documents` finds all of them.  Two sets that similar share one of the least hashes of each, of which there
-are ``n - ceil(similarity * n) + 1``; pairs that meet there are verified on their whole sets.
+are ``n - ceil(similarity * n) + 1``.  Of two sets that meet there the differing bits of a sketch are counted; few enough,
+the whole sets are compared.  A sketch deals the hashes to SKETCH bins.  That of a set of up to SMALL hashes says whether a
+bin has an odd number of them, that of a larger set is a bit of the bin's least hash; a shingle that only one set has changes
+one bit at most, and at similarity 0.8 a tenth of the bits of larger sets differ, give or take.  First each set is tried against one of those that share a hash, another for each hash; then those still in different components are tried against each other.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, partitions, table, text_columns
+from .common import byte_slices, drop_tables, materialize, mix64, partitions, shielded, small_side, table, text_columns
 from .components import connected_components
 
 SHINGLE, DISTANCE, SHARED, SEED = 3, 3, 5, 42
@@ -150,13 +153,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles, as signed longs; none of a null or wordless text."""
+    """Sorted distinct hashes of a text's shingles; none of a null or wordless text."""
     words = (text or b"").translate(_LOWER).split()
     k = min(shingle, len(words))
     if not k:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     got = b"".join([xxhash.xxh64_digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)])
-    return np.unique(np.frombuffer(got, np.int64))
+    return np.unique(np.frombuffer(got, np.uint64))
+
+
+#: Bits of a sketch; hashes of a small set; the most bits that may differ between larger ones: a tenth and five deviations.
+SKETCH, SMALL, MOST_BITS = 256, 300, 51
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH bits as four longs: of each bin of hashes whether their number is odd, or for a large set a bit of the least."""
+    where = (mix64(hashes) >> np.uint64(56)).astype(np.int64)
+    if len(hashes) <= SMALL:
+        return np.packbits((np.bincount(where, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+    bits = np.zeros(SKETCH, np.uint8)
+    found, first = np.unique(where, return_index=True)
+    bits[found] = mix64(hashes[first]) & np.uint64(1)
+    return np.packbits(bits).view(np.int64)
 
 
 def similar_documents(df: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,29 +186,64 @@ def similar_documents(df: DataFrame, shingle: int, similarity: float, id_col: st
                 sets = [shingle_set(t, shingle) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 n = [len(s) for s in sets]
                 same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                least = pa.array([m - math.ceil(similarity * m - 1e-9) + 1 if m else 0 for m in n], pa.int32())
-                hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.record_batch([part.column("doc_id"), pa.array(same), pa.array(n, pa.int32()), least, hashes], ["doc_id", "same", "n", "least", "hashes"])
-
-    sets = materialize(text_columns(df, id_col, text_col).mapInArrow(work, "doc_id long, same long, n int, least int, hashes array<long>"), "shingle-sets")
+                least = [m - math.ceil(similarity * m - 1e-9) + 1 if m else 0 for m in n]
+                lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
+                # The first of a set by hash, and all of it in 32 bits, which is enough between two sets.
+                first = lists([s[:m].view(np.int64) for s, m in zip(sets, least, strict=True)], np.int64)
+                whole = lists([np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets], np.int32)
+                bits = np.stack([sketch(s) for s in sets])
+                yield pa.record_batch([part.column("doc_id"), pa.array(same), pa.array(n, pa.int32()), *[pa.array(bits[:, i]) for i in range(4)], first, whole], ["doc_id", "same", "n", *BITS, "first", "hashes"])
+
+    schema = "doc_id long, same long, n int, s0 long, s1 long, s2 long, s3 long, first array<long>, hashes array<int>"
+    sets = materialize(text_columns(df, id_col, text_col).mapInArrow(work, schema), "shingle-sets")
     nodes = materialize(sets.groupBy("same").agg(F.min("doc_id").alias("least")), "shingle-nodes")
-    entries = sets.where("n > 0").select("same", "n", F.posexplode(F.slice("hashes", F.lit(1), F.col("least"))).alias("at", "hash"))
-    # Most hashes are in one set only; only the others are written and joined.
-    entries = entries.withColumn("m", F.count("*").over(Window.partitionBy("hash"))).where("m > 1").drop("m").distinct()
-    entries = materialize(entries, "shingle-entries")
-    x, y = entries.toDF("a", "na", "ia", "hash"), entries.toDF("b", "nb", "ib", "hash")
-    # At the first hash two sets share, what is left of both must be enough.
-    share = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
-    met = x.join(y, "hash").where((F.col("a") < F.col("b")) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= share))
-    pairs = materialize(met.select("a", "b").distinct(), "shingle-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct()
-    whole = materialize(sets.join(ends, "same", "left_semi").select("same", "hashes").dropDuplicates(["same"]), "shingle-ends")
-    both = pairs.join(whole.toDF("a", "ha"), "a").join(whole.toDF("b", "hb"), "b").select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("both"))
-    links = both.where(F.col("both") >= similarity * (F.col("n") - F.col("both")) - 1e-6).select("a", "b")
-    roots = connected_components(links).toDF("same", "root")
+    entries = sets.where("n > 0").select("same", "n", *BITS, F.posexplode("first").alias("at", "hash"))
+    # Most hashes are in one set only; only the others are kept.
+    # Each hash has a head of its own, so that a set of a large group meets many of the others.
+    entries = entries.withColumn("order", F.xxhash64("same", "hash"))
+    shared = entries.groupBy("hash").agg(F.min("same").alias("lo"), F.max("same").alias("hi"), F.min("order").alias("head")).where("lo <> hi")
+    shared = materialize(shared.select("hash", "head"), "shingle-shared")
+    entries = entries.join(small_side(shared, F.lit(32)), "hash").withColumn("head", F.col("order") == F.col("head")).drop("order")
+    entries = materialize(entries.distinct(), "shingle-entries")
+    x, y = entries.toDF(*[f"x_{c}" for c in entries.columns]), entries.toDF(*[f"y_{c}" for c in entries.columns])
+    differing = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITS), F.lit(0))
+    # At the first hash that two sets share, what is left of both must be enough.
+    share = similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-6
+    enough = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= share
+    # No more bits can differ than the sets have shingles that are not in both.
+    apart = F.floor((1 - similarity) / (1 + similarity) * (F.col("x_n") + F.col("y_n")) + 1e-6)
+    small, large = F.greatest("x_n", "y_n") <= SMALL, F.least("x_n", "y_n") > SMALL
+    likely = (F.col("x_hash") == F.col("y_hash")) & enough & F.when(small, differing <= apart).when(large, differing <= F.least(F.lit(MOST_BITS), apart)).otherwise(True)
+    pair = lambda j: j.select(F.least("x_same", "y_same").alias("a"), F.greatest("x_same", "y_same").alias("b")).distinct()
+    stars = materialize(pair(x.join(y.where("y_head"), likely & ~F.col("x_head"))), "shingle-stars")
+    first = _alike(stars, sets, similarity)
+    labels = connected_components(first).toDF("same", "label")
+    labelled = entries.join(small_side(labels, F.lit(32)), "same", "left").withColumn("label", F.coalesce("label", "same"))
+    mixed = labelled.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hash")
+    labelled = materialize(labelled.join(mixed, "hash", "left_semi"), "shingle-mixed")
+    x, y = labelled.toDF(*[f"x_{c}" for c in labelled.columns]), labelled.toDF(*[f"y_{c}" for c in labelled.columns])
+    once = (F.col("x_same") < F.col("y_same")) & (F.col("x_label") != F.col("y_label"))
+    second = materialize(pair(x.join(y, likely & once)).join(stars, ["a", "b"], "left_anti"), "shingle-pairs")
+    roots = connected_components(first.unionByName(_alike(second, sets, similarity))).toDF("same", "root")
     known = nodes.join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return sets.select("doc_id", "same").join(known.join(least, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
+    found = materialize(sets.select("doc_id", "same").join(known.join(least, "root").select("same", "component_id"), "same").select("doc_id", "component_id"), "shingle-components")
+    drop_tables(sets, nodes, shared, entries, stars, labelled, second)
+    return found
+
+
+BITS = ("s0", "s1", "s2", "s3")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs ``a``, ``b`` those whose whole sets are similar enough."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "shingle-ends")
+    whole = sets.select("same", "hashes").join(small_side(ends, F.lit(16)), "same", "left_semi").groupBy("same").agg(F.first("hashes").alias("hashes"))
+    whole = materialize(whole, "shingle-whole")
+    both = pairs.join(whole.toDF("a", "ha"), "a").join(whole.toDF("b", "hb"), "b").select("a", "b", (F.size("ha") + F.size("hb")).alias("n"), F.size(F.array_intersect("ha", "hb")).alias("both"))
+    links = materialize(both.where(F.col("both") >= similarity * (F.col("n") - F.col("both")) - 1e-6).select("a", "b"), "shingle-links")
+    drop_tables(ends, whole)
+    return links
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -200,12 +253,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     :func:`near_duplicates`.  Rows with a null id stay: nothing says which of them came first.
     """
     found = near_duplicates(df, id_col, text_col) if similarity is None else similar_documents(df, shingle, similarity, id_col, text_col)
-    lost = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
-    rows = df.join(lost, df[id_col].cast("long") == lost["__lost"], "left_anti")
-    twice = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__twice"))
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    repeated = rows.join(twice, rows[id_col] == twice["__twice"], "left_semi").withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
-    return rows.join(twice, rows[id_col] == twice["__twice"], "left_anti").unionByName(repeated)
+    lost = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    rows, names = shielded(df, ident=F.col(f"`{id_col}`").cast("long"), mark=F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    rows = rows.join(lost, F.col("ident") == F.col("doc_id"), "left_anti")
+    # Ids that come more than once are few; only their rows are numbered.
+    twice = rows.where("ident is not null").groupBy("ident").count().where("count > 1").select(F.col("ident").alias("twice"))
+    first = Window.partitionBy("ident").orderBy("mark")
+    repeated = rows.join(twice, F.col("ident") == F.col("twice"), "left_semi").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    kept = rows.join(twice, F.col("ident") == F.col("twice"), "left_anti").unionByName(repeated)
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
