@@ -12,9 +12,13 @@ A slice of documents first settles its own repeats and sends on one row for each
 of all rows share is one entry a slice and never a hot group.  Entries travel packed, by ranges of hashes; texts are
 shuffled once, by document, and that exchange serves both the extension and the removal.
 
+Windows are taken for equal by 96 bits: polynomial hashes of the words (modulo 2^64, then mixed), 64 bits of one and 32 of
+another; words themselves are not compared, so two different windows are confused with a chance of about 2^-96 a pair.
+
 Null or wordless text: no words.  Null doc_id: the row is returned whole and takes no part.  Rows repeated with one id and
-text stand at the same place, so neither is earlier than the other.  Empty table: empty result.  A task holds a slice of
-SLICE bytes (or one longer document) and about 100 times that in working arrays.
+text stand at the same place, so neither is earlier than the other.  Empty table: empty result.  Only the id and the text
+are read, so other columns cannot clash.  There are as many buckets as keep the text of one at about A_BUCKET bytes; a task
+holds a bucket (or one longer document) and, for a slice of SLICE bytes at a time, about 100 times that in working arrays.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, mix64, partitions, table
+from .common import byte_slices, mix64, partitions, table, text_columns
 
 WINDOW, PERIOD, COVER, SLICE = 20, 13, (0, 1, 3, 9), 1 << 20
+#: Bytes of text that a bucket has on average, at most.
+A_BUCKET = 32 << 20
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BYTE = np.random.default_rng(3).integers(0, 2**64, 256, np.uint64)
 _BASES = [int(x) | 5 for x in np.random.default_rng(4).integers(0, 2**62, 3)]
@@ -232,8 +238,9 @@ def _kept(docs: pa.Table, rows: pa.Table) -> pa.Table:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``text`` (the kept words joined by one space), a row for each row of ``df``."""
-    n = partitions(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = text_columns(df, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(df.sparkSession), -(-size // A_BUCKET))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     home = F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("th")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
     homes = docs.withColumn("bucket", home % n).repartition(n, "bucket")
