@@ -9,16 +9,16 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import SortKey
 from ..operators import check, merge
-from ..operators.sort import extremes, output_batches, sorted_groups, sorted_groups_by_batch, split_at, with_position
+from ..operators.sort import extremes, output_batches, sort_runs, sorted_groups, sorted_groups_by_batch, split_at, with_position
 from ..sources.parquet import declared_spec, scan_in_order, write_sorted, write_sorted_groups, write_with_footer
 from ..streaming.writer import SortingWriter, WriterOptions
 from .progress import progress_frame
-from .runs import FlushThreshold, assign_runs
+from .runs import FlushThreshold, assign_runs, estimated_bytes
 
 BATCH = 1024
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,15 @@ def merge_sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("merge_sorted_runs", merge_sorted_runs, f"SELECT l_orderkey, l_linenumber, l_orderkey % 8 AS run_id, row_number() OVER (ORDER BY {_sql_order(_KEYS, LINEITEM)}) AS pos FROM lineitem")
 
 
+def sort_within_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 8).alias("run_id"), "o_totalprice", "o_orderkey")
+    placed = sort_runs(rows, [SortKey("o_totalprice", True), SortKey("o_orderkey")], "run_id").withColumn("at", F.monotonically_increasing_id())
+    return placed.select("run_id", "o_orderkey", F.row_number().over(Window.partitionBy("run_id").orderBy("at")).cast("long").alias("pos"))
+
+
+_add("sort_within_runs", sort_within_runs, "SELECT o_orderkey % 8 AS run_id, o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS pos FROM orders")
+
+
 def run_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").withColumn("run_id", F.col("o_orderkey") % 16)
     found = merge.run_manifest(rows, [SortKey("o_custkey"), SortKey("o_orderkey")], "run_id")
@@ -116,8 +125,8 @@ SELECT run_id, max(CASE WHEN k = 1 THEN o_orderkey END) AS first_order, max(CASE
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = 4 * 8 + F.octet_length("event_type") + F.octet_length("props")
-    return _table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / BATCH).alias("batch_no")).agg(F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"))
+    events = _table(spark, sf_dir, "events").select(*EVENTS)
+    return events.groupBy(F.floor(F.col("event_id") / BATCH).alias("batch_no")).agg(F.count("*").alias("n_rows"), F.sum(estimated_bytes(events.schema)).alias("n_bytes"))
 
 
 _BATCH_SQL = f"b AS (SELECT cast(floor(event_id / {BATCH}) AS BIGINT) AS batch_no, count(*) AS n_rows, cast(sum(32 + strlen(event_type) + strlen(props)) AS BIGINT) AS n_bytes FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY batch_no) AS k FROM b)"

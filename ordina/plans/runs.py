@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,31 +40,29 @@ class FlushThreshold:
     def should_flush(self, rows: int, size: int) -> bool:
         return (self.max_rows is not None and rows >= self.max_rows) or (self.max_bytes is not None and size >= self.max_bytes)
 
-    def reached(self, rows: Column, size: Column) -> Column:
-        tests = [c >= m for c, m in ((rows, self.max_rows), (size, self.max_bytes)) if m is not None]
-        return tests[0] if len(tests) == 1 else tests[0] | tests[1]
-
 
 def assign_runs(batches: DataFrame, threshold: FlushThreshold, cuts: tuple[int, ...] = ()) -> DataFrame:
     """``batches`` (``batch_no``, ``n_rows``, ``n_bytes``; a row a batch) with ``run_id``.
 
-    Counters start anew after each flush, so this is a fold in the order of batches, over their list, not their rows.
-    A batch in ``cuts`` is followed by a manual flush.  Batches without rows never end a run.
+    Counters start anew after each flush, so this is a fold in the order of batches: one task streams over them, a row a
+    batch, and holds the counters alone.  Where all batches have the same rows, :func:`uniform_runs` needs no fold.  A batch
+    in ``cuts`` is followed by a manual flush.  Batches without rows never end a run.
     """
-    items = F.sort_array(F.collect_list(F.struct("batch_no", "n_rows", "n_bytes")))
-    zero = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<batch_no:bigint,run_id:bigint>>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        rows, size = acc["rows"] + b["n_rows"], acc["size"] + b["n_bytes"]
-        full = (b["n_rows"] > 0) & threshold.reached(rows, size)
-        if cuts:
-            full = full | (b["batch_no"].isin(*cuts) & (rows > 0))
-        entry = F.array(F.struct(b["batch_no"].cast("long").alias("batch_no"), acc["run"].alias("run_id")))
-        return F.struct((acc["run"] + full.cast("long")).alias("run"), F.when(full, 0).otherwise(rows).cast("long").alias("rows"), F.when(full, 0).otherwise(size).cast("long").alias("size"), F.concat(acc["out"], entry).alias("out"))
-
-    sized = batches.select(F.col("batch_no").cast("long").alias("batch_no"), F.col("n_rows").cast("long").alias("n_rows"), F.col("n_bytes").cast("long").alias("n_bytes"))
-    runs = sized.agg(items.alias("items")).select(F.explode(F.aggregate("items", zero, step, lambda acc: acc["out"])).alias("e")).select("e.*")
-    return sized.join(runs, "batch_no")
+    cut = frozenset(cuts)
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = rows = size = 0
+        for part in parts:
+            runs = []
+            for number, n, b in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                rows, size = rows + n, size + b
+                runs.append(run)
+                if (n > 0 and threshold.should_flush(rows, size)) or (number in cut and rows > 0):
+                    run, rows, size = run + 1, 0, 0
+            yield pa.record_batch([*part.columns, pa.array(runs, pa.int64())], ["batch_no", "n_rows", "n_bytes", "run_id"])
+
+    sized = batches.select(*[F.col(c).cast("long").alias(c) for c in ("batch_no", "n_rows", "n_bytes")])
+    return sized.repartition(1).sortWithinPartitions("batch_no").mapInArrow(fold, "batch_no long, n_rows long, n_bytes long, run_id long")
 
 
 def uniform_runs(batch_no: Column, batch_rows: int, max_rows: int) -> Column:

@@ -174,5 +174,6 @@ def write_with_footer(df: DataFrame, path: str, keys: Sequence[SortKey], row_gro
                 os.remove(temporary)
         yield pa.record_batch([pa.array([rows], pa.int64())], ["rows"])
 
-    # An empty frame can have no partition at all; one is needed to write the empty file.
-    df.repartition(1).sortWithinPartitions(*orders(keys)).mapInArrow(write, "rows long").collect()
+    if not df.repartition(1).sortWithinPartitions(*orders(keys)).mapInArrow(write, "rows long").collect():
+        # A frame known to be empty has no task; one row's task writes the empty file.
+        df.sparkSession.range(1).coalesce(1).mapInArrow(lambda batches: (x for _ in [list(batches)] for x in write(iter(()))), "rows long").collect()

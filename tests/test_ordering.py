@@ -13,7 +13,7 @@ from ordina.operators.merge import merge_runs, merge_runs_with_extremes, overlap
 from ordina.operators.sort import extremes, sort_global, sorted_groups_by_batch, split_at, with_position
 from ordina.plans.progress import FinishPhase, FinishProgress, progress_rows
 from ordina.plans.runs import FlushThreshold, assign_runs, read_batch_rows, uniform_runs
-from ordina.sources.parquet import key_values_of, scan_in_order, spec_of, spec_warnings, total_rows, write_sorted, write_sorted_groups, write_with_footer
+from ordina.sources.parquet import declared_spec, footer_spec, key_values_of, scan_in_order, spec_of, spec_warnings, total_rows, write_sorted, write_sorted_groups, write_with_footer
 from ordina.streaming.writer import SortedGroupsWriter, SortingWriter, WriterOptions, merge_stream_runs, stream_runs
 
 ID = [SortKey("id")]
@@ -73,6 +73,7 @@ def test_sort_and_merge(spark):
         merge_runs([], ID)
     with pytest.raises(SchemaMismatch):
         merge_runs([a, b.withColumnRenamed("name", "n")], ID)
+    assert ids(merge_runs([a, b.withColumnRenamed("name", "n")], ID, checked=False)) == [1, 2, 3, 4, 5, 6]
     merged, ends = merge_runs_with_extremes([a, b], ID)
     assert merged.count() == 6 and (ends.first()["min_key"]["id"], ends.first()["max_key"]["id"]) == (1, 6)
     none = extremes(frame(spark, []), [SortKey("id", True)]).first()
@@ -148,6 +149,68 @@ def test_sinks(spark, tmp_path):
         spec_of(rows)
 
 
+def test_row_groups_of_wide_rows_are_cut_by_rows_alone(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    # 150,000 rows of over 1,000 bytes are more than the 128 MB at which a row group would otherwise end.
+    rows = spark.range(200_000).selectExpr("id as at", "cast(pmod(xxhash64(id), 1000000) as int) as id", "repeat(sha2(cast(id as string), 512), 8) as name")
+    path = str(tmp_path / "wide")
+    write_sorted_groups(rows, path, ID, 150_000, [SortKey("at")], compression="none")
+    sizes = []
+    for f in glob.glob(f"{path}/*.parquet"):
+        pf = pq.ParquetFile(f)
+        for g in range(pf.num_row_groups):
+            own = pf.read_row_group(g, columns=["id", "at"])
+            assert own["id"].to_pylist() == sorted(own["id"].to_pylist()) and len({x // 150_000 for x in own["at"].to_pylist()}) == 1
+            sizes.append(own.num_rows)
+    assert sorted(sizes) == [50_000, 150_000]
+
+
+def test_footers_of_others_and_of_empty_tables(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    empty, other = str(tmp_path / "empty.parquet"), str(tmp_path / "other.parquet")
+    write_with_footer(frame(spark, []), empty, ID)
+    assert spark.read.parquet(empty).count() == 0 and footer_spec(empty) == []
+    pq.write_table(pa.table({"name": ["b", "a"], "id": [1, 2]}), other, sorting_columns=[pq.SortingColumn(1), pq.SortingColumn(0, True, True)])
+    assert declared_spec(spark, other) == [SortKey("id"), SortKey("name", True, True)]
+    assert main(["check", other], spark) == 0
+    assert list(tmp_path.glob("*.parquet.*")) == []
+
+
+def test_check_path_over_splits_and_files(spark, tmp_path):
+    rng = random.Random(5)
+    for turn in range(12):
+        values = [rng.choice([None, 1.0, 2.0, float("nan"), -0.0, 0.0]) for _ in range(60)]
+        key = SortKey("v", rng.random() < 0.5, rng.random() < 0.5)
+        df = frame(spark, [(v, i) for i, v in enumerate(values)], "v double, i int")
+        path = str(tmp_path / f"p{turn}")
+        (df.repartition(3) if turn % 3 == 0 else df.orderBy(key.order()).coalesce(2) if turn % 3 == 1 else df.coalesce(1)).write.option("parquet.block.row.count.limit", 7).parquet(path)
+        placed = scan_in_order(spark, path)
+        slow = check_sorted(placed.select("v", "__file", "__row"), [SortKey("__file"), SortKey("__row")], [key])
+        assert check_path(spark, path, [key]) == slow, (turn, key)
+
+
+def test_extremes_of_null_groups(spark):
+    df = frame(spark, [(1, 5), (1, 7), (None, 3), (None, None)], "g int, id int")
+    got = {r["g"]: (r["min_key"]["id"], r["max_key"]["id"], r["n_rows"]) for r in extremes(df, [SortKey("id", True)], ["g"]).collect()}
+    assert got == {1: (7, 5, 2), None: (3, None, 2)}
+    assert extremes(df.where("false"), [SortKey("id", True)]).collect()[0]["n_rows"] == 0
+
+
+def test_writer_counts_bytes_and_deletes_runs(spark, tmp_path):
+    w = SortingWriter(spark, str(tmp_path / "out"), frame(spark, []).schema, ID, WriterOptions(FlushThreshold.rows(2)))
+    w.write(frame(spark, pairs("3:c 1:a")))
+    # A batch that is not deterministic is written as it was counted.
+    w.write(spark.range(50).selectExpr("cast(id as int) as id", "cast(rand() as string) as name").where("name < '0.5'"))
+    kept = spark.read.parquet(f"{w.run_dir}/run_1.parquet").count()
+    assert w.finish() == kept + 2 and w.bytes_written == sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert not list(tmp_path.glob("out.runs*"))
+
+
 def test_writer_spills_and_merges(spark, tmp_path):
     w = SortingWriter(spark, str(tmp_path / "out"), frame(spark, []).schema, ID, WriterOptions(FlushThreshold.rows(3)))
     for b in ("9:i 7:g 5:e", "3:c 1:a", "8:h 6:f 4:d", "2:b 0:z"):
@@ -185,6 +248,13 @@ def test_stream_of_runs(spark, tmp_path):
     assert ids(spark.read.parquet(str(tmp_path / "all"))) == list(range(10))
 
 
+def test_stream_batches_of_several_partitions_are_one_run(spark, tmp_path):
+    src = str(tmp_path / "src")
+    frame(spark, [(k * 7919 % 1000, "x") for k in range(1000)]).repartition(4).write.parquet(src)
+    stream_runs(spark.readStream.schema(PEOPLE).parquet(src), str(tmp_path / "runs"), ID, str(tmp_path / "cp")).awaitTermination()
+    assert check_path(spark, str(tmp_path / "runs" / "run_0.parquet"), ID).sorted
+
+
 def test_check_reports_the_first_differing_key(spark):
     df = frame(spark, [(1, "b"), (1, "a"), (0, "c")]).withColumn("n", F.monotonically_increasing_id())
     found = check_sorted(df, [SortKey("n")], [SortKey("id"), SortKey("name")])
