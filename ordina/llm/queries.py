@@ -29,6 +29,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 ORACLES = {
+    "op5_cover_anchor_dedup": substring_dedup.ORACLE,
     "op9_pivot_top_k": _EXACT_TOP_K,
     "op10_url_filter": url_filter.ORACLE,
 }

@@ -254,3 +254,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op5_cover_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Brute force in SQL: every window's words, and all windows that start earlier.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i : i + 19], ' ') ORDER BY doc_id, i) AS place FROM p),
+c AS (SELECT DISTINCT doc_id, i + d AS j FROM k, range(20) AS t(d) WHERE place > 1),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY j) AS t FROM u ANTI JOIN c USING (doc_id, j) GROUP BY u.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT w.doc_id, cast(len(ws) AS BIGINT) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = w.doc_id
+"""

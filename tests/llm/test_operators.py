@@ -86,6 +86,21 @@ def test_one_bit_ann_has_recall(spark):
     assert ann_codes.nearest(empty, empty).count() == 0
 
 
+def test_one_bit_ann_on_the_given_vectors(spark):
+    """Recall against brute force over the whole table."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()
+    keep = [r for r in rows if r["embedding"] and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
+    ids, x = np.array([r["vec_id"] for r in keep]), np.array([r["embedding"] for r in keep], float)
+    unit, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    got = by_query(ann_codes.op1_one_bit_ann(spark, "/root/testdata/sf0.01").collect())
+    assert sorted(got) == sorted(int(i) for i in ids if i % 50 == 0)
+    for i in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[i]
+        score[i] = -9
+        hits += len({v for v, _ in got[int(ids[i])]} & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    assert hits >= 0.95 * 5 * len(got)
+
+
 def test_different_vectors_of_one_id_all_count(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (1, [3.0, 0.5]), (2, [-1.0, -1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -275,6 +290,10 @@ def test_substring_dedup(spark):
     for r in rows:
         assert (r["n_words"], r["n_removed"], r["text"]) == (want[r["doc_id"]] if r["doc_id"] is not None else (90, 0, " ".join(["x"] * 90)))
     assert substring_dedup.remove_repeats(df.where("false")).count() == 0
+    # One very long text, whose second half repeats its first.
+    long = [f"w{i}" for i in range(60_000)]
+    row = substring_dedup.remove_repeats(spark.createDataFrame([(1, " ".join(long * 2))], DOCS)).first()
+    assert (row["n_words"], row["n_removed"], row["text"]) == (120_000, 60_000, " ".join(long))
 
 
 def test_simhash_dedup(spark):
@@ -286,7 +305,7 @@ def test_simhash_dedup(spark):
         if rng.random() < 0.6:
             ws[rng.randrange(60)] = "Changed"
         docs.append((i, " ".join(ws)))
-    docs += [(200, None), (201, "  "), (202, "a b"), (203, "a b")]
+    docs += [(200, None), (201, "  "), (202, "a b"), (203, "a b"), (204, " ".join(f"long{i}" for i in range(50_000)))]
 
     def plain(t):
         ws = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -295,7 +314,10 @@ def test_simhash_dedup(spark):
 
     fps = {d: plain(t) for d, t in docs}
     roots = group([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], fps)
-    df = spark.createDataFrame(docs, DOCS)
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, fp int, root int")
+    some = simhash_dedup.near_duplicates(spark.createDataFrame([(None, "a b"), (5, "a b"), (None, "c d e")], DOCS)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in some} == {(None, None), (None, 5), (5, 5)}
+    assert sorted(map(str, simhash_dedup.keep_one(df).columns)) == ["doc_id", "fp", "root", "text"]
     got = {r["doc_id"]: (r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash_dedup.near_duplicates(df).collect()}
     assert got == {d: (fps[d], roots[d]) for d in fps}
     nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in set(fps.values())], "fp long")
@@ -441,3 +463,5 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[0] == {*range(40), 60} and kept[1] == kept[0] and kept[3] == kept[2] <= kept[1]
     assert not docs.where("text like '%a@b.de%'").count()
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
+    spark.read.parquet(f"{tmp_path}/documents.parquet").where("false").withColumn("stack", F.lit(1)).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
