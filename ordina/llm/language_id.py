@@ -144,13 +144,15 @@ def learn(df: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
         return None
     share = F.create_map(*[F.lit(x) for v, n in sorted(counts.items()) for x in (v, min(1.0, per_language / n))])
     chosen = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(share, F.col("lang"))) & F.col("text").isNotNull())
+    chosen = chosen.select("lang", "text", F.xxhash64("doc_id", "text").alias("place"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [(v, np.flatnonzero(c := vector(t)).astype(np.uint16).tobytes(), c[c > 0].tobytes()) for t, v in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True) if has_letter(t)]
-            yield pa.record_batch([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.binary()), pa.array([k[2] for k in keep], pa.binary())], ["lang", "at", "value"])
+            rows = [(v, np.flatnonzero(c := vector(t)).astype(np.uint16).tobytes(), c[c > 0].tobytes(), o) for v, t, o in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.binary(), pa.int64()))], ["lang", "at", "value", "place"])
 
-    got = chosen.mapInArrow(work, "lang string, at binary, value binary").collect()  # about per_language rows a language
+    # About per_language rows a language; twice as many at most, whatever ids are repeated.
+    got = chosen.mapInArrow(work, "lang string, at binary, value binary, place long").orderBy("place", "lang").limit(2 * per_language * len(counts)).collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
     if not got:
         return None
