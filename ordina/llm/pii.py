@@ -285,10 +285,12 @@ def learn(df: DataFrame, sample: int = SAMPLE_DOCS, text_col: str = "text") -> B
                     if (label := weak_label(text, c, base)) is not None and len(own) < OF_A_DOC:
                         own.append([float(label), float(zlib.crc32(text[c[0] : c[2]].encode()) % 2), *features(text, c)])
                 rows += own
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.float64()))], ["row"])
+            places = [float(zlib.crc32(repr(r).encode())) for r in rows]
+            yield pa.record_batch([pa.array(rows, pa.list_(pa.float64())), pa.array(places, pa.float64())], ["row", "place"])
 
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
-    got = sorted(r["row"] for r in chosen.mapInArrow(work, "row array<double>").collect())
+    # However often a text with candidates is repeated, no more than this comes to the driver.
+    got = sorted(r["row"] for r in chosen.mapInArrow(work, "row array<double>, place double").distinct().orderBy("place", "row").limit(2 * sample).collect())
     x, y, held_x, held_y = made_up_halves()
     if got:
         rows = np.array(got)
