@@ -16,6 +16,7 @@ from ordina.plans.runs import FlushThreshold, assign_runs, read_batch_rows, unif
 from ordina.sources.parquet import declared_spec, footer_spec, key_values_of, scan_in_order, spec_of, spec_warnings, total_rows, write_sorted, write_sorted_groups, write_with_footer
 from ordina.streaming.writer import SortedGroupsWriter, SortingWriter, WriterOptions, merge_stream_runs, stream_runs
 
+# The small frames in these tests and their orders are facts that any right sort, merge or check gives.
 ID = [SortKey("id")]
 PEOPLE = "id int, name string"
 
