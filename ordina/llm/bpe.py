@@ -22,6 +22,8 @@ Only the id and the text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import hashlib
 import heapq
 import json
@@ -162,7 +164,7 @@ def character_classes() -> np.ndarray:
     """The class of every code point."""
     import regex
 
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    every = np.concatenate((np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4"))).tobytes().decode("utf-32-le")
     classes = np.zeros(0x110000, np.uint8)
     for kind, found in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(found, every):
@@ -218,8 +220,10 @@ def split_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _little_memory() -> None:
-    """Arrow's own pool keeps what it freed; several workers of an executor would each keep their most."""
+    """Arrow's own pool and the C library keep what was freed; several workers of an executor would each keep their most."""
     pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _arrays(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
@@ -281,6 +285,8 @@ def _sliced(buckets: int, numbers: bool):
                     held, size, ident = ([], [], []), 0, ident + 1
         if held[0]:
             yield from _slice(ident, *held, buckets, numbers)
+        held = None
+        _little_memory()
 
     return work
 
@@ -318,6 +324,7 @@ def _sent_back(path: str):
     """Folded buckets to a row for each slice: its pieces' ids and decoded bytes, in the slice's order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _little_memory()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
