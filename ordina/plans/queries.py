@@ -227,8 +227,12 @@ SELECT *, (SELECT max(run_id) + 1 FROM f) AS num_runs, 'Merging' AS phase, cast(
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new place for what a round trip writes: in the shared folder, or in a private one where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ordina-")
+    """A new place for what a round trip writes: in the shared folder, or in a private one where none is set and the master is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="ordina-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
