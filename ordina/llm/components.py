@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_tables, materialize
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -22,19 +22,23 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         return e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     edges = materialize(proper(edges), "edges")
+    written = [edges]
     pointers: list[DataFrame] = []
     for turn in range(rounds):
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         best = F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("to"))).alias("m")
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("to"))
         to = materialize(both.groupBy("a").agg(best).select(F.col("a").alias("node"), F.least("m", own).getField("to").alias("to")), "pointers")
+        written.append(to)
         if to.isEmpty():
             break
         pointers.append(to)
         at_a, at_b = to.toDF("a", "ta"), to.toDF("b", "tb")
         edges = proper(edges.join(at_a, "a").join(at_b, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
         # Two rounds share a plan; then the edges left are written.
-        edges = materialize(edges, "edges") if turn % 2 else edges
+        if turn % 2:
+            edges = materialize(edges, "edges")
+            written.append(edges)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     if not pointers:
@@ -43,4 +47,6 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for earlier in reversed(pointers[:-1]):
         later = found.toDF("to", "root")
         found = earlier.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-    return materialize(found, "components")
+    found = materialize(found, "components")
+    drop_tables(*written)
+    return found
