@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import json
+import math
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import NoSortKeys
-from ..functions.keys import SortKey, checked_keys, orders, parse_sort_key
+from ..functions.keys import SortKey, checked_keys, orders, parse_sort_key, total_order
 from ..plans.runs import DEFAULT_ROW_GROUP, estimated_bytes
 
 SPEC = "ordina.sort_key"
+#: Bytes of rows, by the documented estimate and 16 a column, that one task sorts for a sink of one file.
+RANGE_BYTES = 64 << 20
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:
@@ -50,15 +57,22 @@ def spec_of(df: DataFrame) -> list[SortKey]:
     return [SortKey(name, k.descending, k.nulls_first) for _, name, k in sorted(keys, key=lambda x: x[0])]
 
 
+def _file_system(path: str):
+    """The file system of a path, by pyarrow, and the path there."""
+    from pyarrow import fs
+
+    path = path.replace("file:///", "/")
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def footer_spec(path: str) -> list[SortKey]:
     """The ``sorting_columns`` in the footer of one Parquet file (of its first row group), whoever wrote it; [] if there are none.
 
     Only the footer is read, through pyarrow's file systems.  Keys are top-level columns.
     """
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
-    where, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    where, inner = _file_system(path)
     with where.open_input_file(inner) as f:
         meta = pq.ParquetFile(f).metadata
     if not meta.num_row_groups:
@@ -104,16 +118,73 @@ def group_options(df: DataFrame, rows: int) -> dict[str, str]:
     return {"parquet.block.row.count.limit": str(rows), "parquet.block.size": str(size), "parquet.memory.pool.ratio": "0.95"}
 
 
+@contextmanager
+def one_ordered_partition(df: DataFrame, keys: Sequence[SortKey]) -> Iterator[DataFrame]:
+    """``df`` in the keys' order as one partition, for a task that writes one file.
+
+    Up to RANGE_BYTES that task sorts.  More is dealt by ranges of keys (ties by all other columns) to tasks that sort about as
+    much each and write it to the shared folder; the one task only reads those files, one after the other, so its memory
+    does not grow with the input.  (Coalescing sorted partitions would do, but Spark may take one near the task first.)
+    The folder goes at the end.  Reads go through pyarrow's file systems.
+    """
+    spark, plain = df.sparkSession, df.schema
+    size = df.agg(F.sum(estimated_bytes(plain) + 16 * len(df.columns))).first()[0] or 0
+    if size <= RANGE_BYTES:
+        yield df.coalesce(1).sortWithinPartitions(*orders(keys))
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="ordina-")
+    folder = f"{shared}/ranges-{uuid.uuid4().hex}"
+    dealt = df.repartitionByRange(math.ceil(size / RANGE_BYTES), *orders(total_order(df.columns, keys, plain)))
+    kind = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(kind)
+    spark.conf.set(kind, "TIMESTAMP_MICROS")
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        try:
+            dealt.sortWithinPartitions(*orders(keys)).write.parquet(folder)
+        finally:
+            spark.conf.set(kind, before)
+        # Files are named by their range.
+        names = sorted(spark.read.parquet(folder).inputFiles(), key=lambda x: x.rsplit("/", 1)[-1])
+        yield spark.range(1).coalesce(1).mapInArrow(_reader(names, plain), plain)
+    finally:
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _reader(names: Sequence[str], plain: StructType):
+    """What reads the rows of Parquet files in the order of ``names``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(plain)
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for _ in batches:
+            for name in names:
+                where, inner = _file_system(name)
+                with where.open_input_file(inner) as f:
+                    for batch in pq.ParquetFile(f).iter_batches(8192):
+                        yield from pa.Table.from_batches([batch]).cast(schema).to_batches()
+
+    return read
+
+
 def write_sorted(df: DataFrame, path: str, keys: Sequence[SortKey], one_file: bool = False, row_group: int | None = None, key_values: dict[str, str] | None = None, mode: str = "errorifexists", merge_sort: bool = False, **options: str) -> None:
-    """Write all rows in the keys' order: files in range order, or one file (no shuffle: one task sorts and spills).
+    """Write all rows in the keys' order: files in range order, or one file (:func:`one_ordered_partition`).
 
     ``merge_sort`` is accepted and changes nothing: how a sort spills is Spark's business.  An empty input gives a valid
     empty file.  Spark refuses to overwrite a path it reads from.
     """
-    df = with_spec(df, keys, key_values)
-    ordered = df.coalesce(1).sortWithinPartitions(*orders(keys)) if one_file else df.orderBy(*orders(keys))
+    checked_keys(df.schema, keys)
     limit = group_options(df, row_group) if row_group else {}
-    ordered.write.mode(mode).options(**{**limit, **options}).parquet(path)
+    with one_ordered_partition(df, keys) if one_file else nullcontext(df.orderBy(*orders(keys))) as ordered:
+        with_spec(ordered, keys, key_values).write.mode(mode).options(**{**limit, **options}).parquet(path)
 
 
 def write_sorted_groups(df: DataFrame, path: str, keys: Sequence[SortKey], group_rows: int = DEFAULT_ROW_GROUP, arrival: Sequence[SortKey] | None = None, mode: str = "errorifexists", **options: str) -> None:
@@ -174,6 +245,8 @@ def write_with_footer(df: DataFrame, path: str, keys: Sequence[SortKey], row_gro
                 os.remove(temporary)
         yield pa.record_batch([pa.array([rows], pa.int64())], ["rows"])
 
-    if not df.repartition(1).sortWithinPartitions(*orders(keys)).mapInArrow(write, "rows long").collect():
+    with one_ordered_partition(df, keys) as ordered:
+        written = ordered.mapInArrow(write, "rows long").collect()
+    if not written:
         # A frame known to be empty has no task; one row's task writes the empty file.
         df.sparkSession.range(1).coalesce(1).mapInArrow(lambda batches: (x for _ in [list(batches)] for x in write(iter(()))), "rows long").collect()

@@ -272,3 +272,15 @@ def test_command_lines(spark, tmp_path, capsys):
     assert main(["check", str(tmp_path / "missing")], spark) == 2
     assert main(["sort", src, "-o", src, "-s", "id:asc"], spark) == 2
     assert parser().parse_args(["sort", "a", "-o", "b", "--max-memory-rows", "7"]).max_memory_rows == 7
+
+
+def test_one_file_is_not_sorted_by_one_task(spark, tmp_path, monkeypatch):
+    from ordina.sources import parquet
+
+    monkeypatch.setattr(parquet, "RANGE_BYTES", 4000)
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 as id", "timestamp_seconds(id) as at", "if(id % 3 = 0, null, id % 5) as k")
+    keys = [SortKey("k", True), SortKey("id")]
+    with parquet.one_ordered_partition(rows, keys) as ordered:
+        assert "Sort" not in ordered._jdf.queryExecution().executedPlan().toString() and ordered.rdd.getNumPartitions() == 1
+        got = [tuple(r) for r in ordered.collect()]
+    assert got == sorted(map(tuple, rows.collect()), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
